@@ -28,7 +28,7 @@ STREET_TYPES = {
     "terrace": ("terrace", "terr", "ter"),
     "lane": ("lane", "ln"),
     "avenue": ("avenue", "ave", "av"),
-    "way": ("way",),
+    "way": ("way", "wy"),
     "court": ("court", "ct", "crt"),
     "boulevard": ("boulevard", "blvd", "boul"),
     "place": ("place", "pl"),

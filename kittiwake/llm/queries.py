@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kittiwake.llm.addresses import link_addresses, same_building
 from kittiwake.llm.copies import person_runs
+from kittiwake.llm.disclosure import disclosing_spans, sanitise
 from kittiwake.llm.gazetteer import map_to_list
 from kittiwake.sources.tables import table
 
@@ -24,6 +25,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return typed.select(F.col("key").alias("id"), F.coalesce("entry", F.lit(0)).cast("long").alias("city_id"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return disclosing_spans(table(spark, d, "users"), table(spark, d, "city_ref")).select("id", "kind", "found").distinct()
+
+
+def p4_sanitised(spark: SparkSession, d: str) -> DataFrame:
+    return sanitise(table(spark, d, "users"), table(spark, d, "city_ref"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return same_building(table(spark, d, "users"), table(spark, d, "city_ref"))
 
@@ -32,7 +41,7 @@ def p5_places(spark: SparkSession, d: str) -> DataFrame:
     return link_addresses(table(spark, d, "users"), table(spark, d, "city_ref"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_copies": p2_copies, "p3_found": p3_found, "p5_found": p5_found, "p5_places": p5_places}
+QUERIES = {"p2_found": p2_found, "p2_copies": p2_copies, "p3_found": p3_found, "p4_found": p4_found, "p4_sanitised": p4_sanitised, "p5_found": p5_found, "p5_places": p5_places}
 
 _PERSON = r"""
     k AS (SELECT id, array_to_string(list_sort(regexp_extract_all(lower(name), '[\p{L}\p{N}]+')), ' ') AS n,
