@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kittiwake.llm.addresses import link_addresses, same_building
+from kittiwake.llm.contamination import leaks
 from kittiwake.llm.copies import person_runs
 from kittiwake.llm.disclosure import disclosing_spans, sanitise
 from kittiwake.llm.gazetteer import map_to_list
+from kittiwake.llm.packing import fill_containers
+from kittiwake.llm.repetition import perplexity_bands, repeated_share
 from kittiwake.sources.tables import table
 
 
@@ -41,7 +44,31 @@ def p5_places(spark: SparkSession, d: str) -> DataFrame:
     return link_addresses(table(spark, d, "users"), table(spark, d, "city_ref"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_copies": p2_copies, "p3_found": p3_found, "p4_found": p4_found, "p4_sanitised": p4_sanitised, "p5_found": p5_found, "p5_places": p5_places}
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return fill_containers(table(spark, d, "documents"), capacity=2048)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id")
+
+
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), slack=4).select("item_id", "doc_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_share(table(spark, d, "documents"), above=0.3).select("doc_id").distinct()
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_share(table(spark, d, "documents"))
+
+
+def p9_perplexity(spark: SparkSession, d: str) -> DataFrame:
+    return perplexity_bands(table(spark, d, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_copies": p2_copies, "p3_found": p3_found, "p4_found": p4_found, "p4_sanitised": p4_sanitised, "p5_found": p5_found, "p5_places": p5_places, "p7_containers": p7_containers, "p8_found": p8_found, "p8_near": p8_near, "p9_found": p9_found, "p9_shares": p9_shares, "p9_perplexity": p9_perplexity}
 
 _PERSON = r"""
     k AS (SELECT id, array_to_string(list_sort(regexp_extract_all(lower(name), '[\p{L}\p{N}]+')), ' ') AS n,
@@ -52,4 +79,24 @@ _PERSON = r"""
 ORACLE = {
     "p2_found": f"WITH {_PERSON} SELECT first_id, id FROM r WHERE id <> first_id",
     "p2_copies": f"WITH {_PERSON} SELECT DISTINCT first_id, copies FROM r",
+    "p8_found": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all(lower(prompt), '[\p{L}\p{N}]+') AS w FROM eval_items),
+        dg AS (SELECT doc_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)),
+        ig AS (SELECT item_id, array_to_string(w[k:k+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12))
+        SELECT DISTINCT item_id, doc_id FROM ig JOIN dg USING (g)
+    """,
+    "p9_shares": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+        g AS (SELECT doc_id, array_to_string(w[k:k+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) >= 5)),
+        r AS (SELECT doc_id, count(*) - count(DISTINCT g) AS repeated FROM g GROUP BY doc_id)
+        SELECT doc_id, coalesce(len(w), 0) AS words, coalesce(repeated, 0) AS repeated,
+               CASE WHEN len(w) >= 20 THEN repeated / (len(w) - 4) END AS share
+        FROM d LEFT JOIN r USING (doc_id)
+    """,
+    "p9_found": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+        g AS (SELECT doc_id, array_to_string(w[k:k+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) >= 20))
+        SELECT doc_id FROM g GROUP BY doc_id HAVING count(*) - count(DISTINCT g) > 0.3 * count(*)
+    """,
 }
