@@ -33,6 +33,7 @@ _LOCAL = r"[^\W_](?:[\w.+\-]*[^\W_])?"
 _LABEL = r"[^\W_](?:[\w\-]*[^\W_])?"
 _SPELLED_DOT = r"(?:\s*[\[(]\s*dot\s*[\])]\s*|\s+dot\s+)"
 _EMAIL = re.compile(rf"(?<![\w.+\-]){_LOCAL}(?:(?:\s?@\s?|\s*[\[(]\s*at\s*[\])]\s*){_LABEL}(?:(?:\.|{_SPELLED_DOT}){_LABEL})+|\s+at\s+{_LABEL}(?:{_SPELLED_DOT}{_LABEL})+)(?!\w)", re.I)
+_AT = re.compile(r"@|[\[(]\s*at\s*[\])]|\sat\s+\S+\s+dot\s", re.I)
 _NUMBER = re.compile(
     r"(?<![\w@.+\-/])(?<![0-9]:)(?:(?!ID )[A-Z]{1,2} ?)?(?:\+|\()?[0-9](?:[0-9]|[ .\-](?=[0-9(])|\)[ .\-]?(?=[0-9])|[ .\-]?\((?=[0-9]))*[0-9](?:[A-Z](?![\w]))?"
     r"(?:,? ?(?:extension|ext|x)\.? ?[0-9]{1,6})?(?![\w@%:/])"
@@ -41,6 +42,8 @@ _TYPES = "|".join(sorted({f for forms in STREET_TYPES.values() for f in forms},
 _WORD = r"[^\W\d_](?:[^\W\d_]|['’\-](?=[^\W\d_]))*"
 _HOUSE_FIRST = re.compile(rf"(?<![\w\-.,:/])[0-9]{{1,5}}[A-Za-z]? (?P<street>{_WORD}(?: {_WORD}){{0,2}}?) (?P<type>{_TYPES})\b\.?", re.I)
 _HOUSE_LAST = re.compile(rf"(?<![\w\-])(?P<street>{_WORD}(?: {_WORD}){{0,2}}?) (?P<type>{_TYPES})\b\.? [0-9]{{1,5}}[A-Za-z]?(?![\w\-.]*[0-9])", re.I)
+_TYPE_THEN_NUMBER = re.compile(rf" (?:{_TYPES})\b\.? [0-9]", re.I)
+_NAMES = {(1, 1), (1, 2), (2, 1), (1, 2, 1)}
 _ZIP = r"[0-9]{5}(?:-[0-9]{4})?"
 _TOKEN = re.compile(_WORD)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -83,11 +86,13 @@ def propose(text: str, common: frozenset[str], cities: frozenset[str], longest:
     """(start, stop, kind, terms) of everything in a text that has the form of personal information."""
     spans: list[tuple[int, int, str, list[str]]] = []
     taken: list[tuple[int, int]] = []
-    for m in _EMAIL.finditer(text):
+    for m in _EMAIL.finditer(text) if _AT.search(text) else ():
         spans.append((m.start(), m.end(), "email", [_LETTERS.findall(m.group().lower())[-1]] if _LETTERS.search(m.group()) else []))
         taken.append(m.span())
     free = lambda a, b: all(b <= x or a >= y for x, y in taken)
     for pattern in (_HOUSE_FIRST, _HOUSE_LAST):
+        if pattern is _HOUSE_LAST and not _TYPE_THEN_NUMBER.search(text):
+            continue
         for m in pattern.finditer(text):
             name = m["street"].split(" ")
             start = m.start()
@@ -107,26 +112,32 @@ def propose(text: str, common: frozenset[str], cities: frozenset[str], longest:
     for m in _NUMBER.finditer(text):
         if sum(c.isdigit() for c in m.group()) >= 6 and free(*m.span()):
             spans.append((m.start(), m.end(), "number", [_form(m.group())]))
-    w = [m for m in _TOKEN.finditer(text) if free(*m.span())]
-    initial = lambda m: len(m.group()) == 1
-    rare = lambda m: not initial(m) and any(p not in common for p in _LETTERS.findall(m.group().lower()) if len(p) > 1)
-    for k, a in enumerate(w[:-1]):
+    # 0 for an ordinary word, 1 for a rare one, 2 for a letter on its own
+    w, role = [], []
+    for m in _TOKEN.finditer(text):
+        x = m.group().lower()
+        if len(x) == 1:
+            r = 0 if text[m.end() : m.end() + 1].isalnum() else 2
+        else:
+            r = int(x not in common and (x.isalpha() or any(p not in common for p in _LETTERS.findall(x) if len(p) > 1)))
+        w.append(m)
+        role.append(r if not r or not taken or free(*m.span()) else 0)
+    for k in range(len(w) - 1):
+        if not role[k] or not role[k + 1]:
+            continue
         for n in (2, 3):
-            run = w[k : k + n]
-            if len(run) < n:
+            roles = tuple(role[k : k + n])
+            # given and family name, an initial and a name, or a middle initial between two names
+            if len(roles) < n or roles not in _NAMES:
                 continue
+            run = w[k : k + n]
             gaps = [text[x.end() : y.start()] for x, y in zip(run, run[1:])]
-            if not all(g in (" ", ", ") or (g == ". " and initial(x)) for g, x in zip(gaps, run)) or sum("," in g for g in gaps) > 1:
-                continue
-            lone = [k for k, x in enumerate(run) if initial(x) and not text[x.end() : x.end() + 1].isalnum()]
-            full = [x for x in run if rare(x)]
-            # given and family name, an initial and a name, or a middle initial between two names
-            if len(full) + len(lone) < n or len(full) < max(1, n - 1) or (n == 3 and lone != [1]):
+            if not all(g in (" ", ", ") or (g == ". " and r == 2) for g, r in zip(gaps, roles)) or gaps.count(", ") > 1:
                 continue
-            if lone and n == 2 and text[run[lone[0]].end() : run[lone[0]].end() + 1] != ".":
+            if n == 2 and 2 in roles and text[run[roles.index(2)].end() : run[roles.index(2)].end() + 1] != ".":
                 continue
-            stop = run[-1].end() + (1 if initial(run[-1]) and text[run[-1].end() : run[-1].end() + 1] == "." else 0)
-            spans.append((a.start(), stop, "person", [p for x in full for p in _LETTERS.findall(x.group().lower()) if len(p) > 1]))
+            stop = run[-1].end() + (roles[-1] == 2)
+            spans.append((run[0].start(), stop, "person", [p for x, r in zip(run, roles) if r == 1 for p in _LETTERS.findall(x.group().lower()) if len(p) > 1]))
     return spans
 
 
