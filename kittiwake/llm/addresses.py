@@ -99,10 +99,14 @@ def _parse(shared):
     return run
 
 
+#: Street names beyond this length are linked to their own spelling only.
+LONGEST_NAME = 60
+
+
 def _deletions(word: Column, shortest: int) -> Column:
-    """The word, and with one letter left out if it has at least ``shortest`` letters."""
+    """The word, and with one letter left out if it has ``shortest`` to LONGEST_NAME letters."""
     out = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-    return F.when(F.length(word) >= shortest, F.array_distinct(F.concat(F.array(word), out))).otherwise(F.array(word))
+    return F.when(F.length(word).between(shortest, LONGEST_NAME), F.array_distinct(F.concat(F.array(word), out))).otherwise(F.array(word))
 
 
 def link_streets(named: DataFrame, shortest: int = 4, jumps: int = 3) -> DataFrame:

@@ -98,7 +98,7 @@ def propose(text: str, common: frozenset[str], cities: frozenset[str], longest:
             start = m.start()
             if pattern is _HOUSE_LAST:
                 # the name may reach back into ordinary words
-                while len(name) > 1 and name[0].lower() in common:
+                while len(name) > 1 and (name[0].lower() in common or (name[-1][0].isupper() and any(x[0].islower() for x in name))):
                     start += len(name[0]) + 1
                     name = name[1:]
             if any(x.lower() in common for x in name):
@@ -150,7 +150,8 @@ def _extract(shared):
                 for start, stop, kind, terms in propose(text, common, cities, longest):
                     cue = _cue(text, start)
                     if kind == "number":
-                        near = _LETTERS.findall(text[max(0, start - 30) : start].lower())[-3:]
+                        # what stands before an earlier number belongs to that one
+                        near = _LETTERS.findall(re.split("[0-9]", text[max(0, start - 30) : start].lower())[-1])[-3:]
                         cue = next((k for x in reversed(near) for k, labels in LABELS.items() if x in labels), "")
                     out.append((i, start, stop, kind, text[start:stop], cue, terms))
             cols = list(zip(*out)) or [()] * 7
@@ -197,7 +198,8 @@ def disclosing_spans(users: DataFrame, cities: DataFrame, *, id_column: str = "i
     counts = cut(word_counts(users, fields))
     total = counts.agg(*[F.sum(f"n_{k}").alias(k) for k in fields]).first()
     n = {k: float(total[k] or 1) for k in fields}
-    bits = {k: F.log2(((F.col(f"n_{k}") + 0.5) / n[k]) / ((F.col("n_text") + 0.5) / n["text"])) for k in ("name", "email", "street", "city")}
+    # a word that the protected field never holds discloses nothing, however short the field is
+    bits = {k: F.when(F.col(f"n_{k}") > 0, F.log2((F.col(f"n_{k}") / n[k]) / ((F.col("n_text") + 0.5) / n["text"]))).otherwise(F.lit(-99.0)) for k in ("name", "email", "street", "city")}
     usual = counts.where((F.col("n_text") >= max(common_least, common_share * n["text"])) & (bits["name"] < threshold_bits))
     common = frozenset(r[0] for r in usual.select("word").collect())
     listed = [w for r in cities.select(city_name, other_name).limit(max_cities + 1).collect() for w in r if w]

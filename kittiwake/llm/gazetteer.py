@@ -125,6 +125,9 @@ class Dictionary:
         codes = frozenset(bare(c) for *_, c in entries if c)
         return cls(max_edits, long_form, codes, weight, {k: tuple(sorted(v)) for k, v in forms.items()}, {k: tuple(sorted(v)) for k, v in variants.items()})
 
+    def __post_init__(self) -> None:
+        self.longest = max(map(len, self.forms), default=0)
+
     def readings(self, typed: str) -> list[str]:
         """What may be the name in a typed value, without blanks: all its words, and those without numbers, region code
         and words of ``NOISE``."""
@@ -143,6 +146,8 @@ class Dictionary:
                 ranked += [(0.0, -self.weight.get(i, 0), i) for i in self.forms[r]]
                 break
             most = self.max_edits if len(r) >= self.long_form else 1
+            if len(r) > self.longest + most:
+                continue
             near = {f for v in deletes(r, most) for f in self.variants.get(v, ())}
             for f in near:
                 d = weighted_distance(r, f, min(most, self.max_edits if len(f) >= self.long_form else 1))
