@@ -7,9 +7,11 @@ packed in shards of bounded size, and containers left too empty are packed once
 
 from __future__ import annotations
 
+import base64
 import math
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,9 @@ from pyspark.sql import functions as F
 
 from kittiwake.runtime import cut
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: how the byte-level vocabulary splits text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -53,23 +57,24 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return where
 
 
-def _pieces(tokenizer: str, capacity: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+@lru_cache(maxsize=2)
+def _encoding(path: str):
+    """Byte-pair encoding of a file of ranks, without special tokens; kept by the worker."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f) if token}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer)
-        t.encode_special_tokens = True
+def _pieces(tokenizer: str, capacity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoding(tokenizer).encode_ordinary
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             out = []
-            for at in range(0, len(ids), 64):
-                codes = t.encode_batch([x or "" for x in texts[at : at + 64]], add_special_tokens=False)
-                for i, e in zip(ids[at : at + 64], codes):
-                    n = len(e.ids)
-                    out += [(i, k, k * capacity, min(capacity, n - k * capacity)) for k in range(max(1, math.ceil(n / capacity)))]
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n = len(encode(text)) if text else 0
+                out += [(i, k, k * capacity, min(capacity, n - k * capacity)) for k in range(max(1, math.ceil(n / capacity)))]
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=["doc_id", "piece", "first_token", "tokens"])
 
