@@ -202,9 +202,10 @@ def disclosing_spans(users: DataFrame, cities: DataFrame, *, id_column: str = "i
     bits = {k: F.when(F.col(f"n_{k}") > 0, F.log2((F.col(f"n_{k}") / n[k]) / ((F.col("n_text") + 0.5) / n["text"]))).otherwise(F.lit(-99.0)) for k in ("name", "email", "street", "city")}
     usual = counts.where((F.col("n_text") >= max(common_least, common_share * n["text"])) & (bits["name"] < threshold_bits))
     common = frozenset(r[0] for r in usual.select("word").collect())
-    listed = [w for r in cities.select(city_name, other_name).limit(max_cities + 1).collect() for w in r if w]
-    if len(listed) > 2 * max_cities:
+    rows = cities.select(city_name, other_name).limit(max_cities + 1).collect()
+    if len(rows) > max_cities:
         raise ValueError(f"more than {max_cities} cities")
+    listed = [w for r in rows for w in r if w]
     longest = max((len(w.split()) for w in listed), default=1)
     shared = spark.sparkContext.broadcast((common, frozenset("".join(words(w)) for w in listed), longest))
     texts = users.where(users[id_column].isNotNull() & (users[text] != "")).select(users[id_column].cast("long").alias("id"), users[text].alias("text"))

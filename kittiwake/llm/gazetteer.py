@@ -108,6 +108,7 @@ class Dictionary:
     weight: dict[int, int]
     forms: dict[str, tuple[int, ...]] = field(default_factory=dict)
     variants: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    names: dict[str, int] = field(default_factory=dict)
 
     @classmethod
     def of(cls, entries: Iterable[tuple[int, str | None, str | None, str | None]], weight: dict[int, int], max_edits: int = 2, long_form: int = 12) -> Dictionary:
@@ -123,7 +124,8 @@ class Dictionary:
             for v in deletes(f, max_edits if len(f) >= long_form else 1):
                 variants[v].add(f)
         codes = frozenset(bare(c) for *_, c in entries if c)
-        return cls(max_edits, long_form, codes, weight, {k: tuple(sorted(v)) for k, v in forms.items()}, {k: tuple(sorted(v)) for k, v in variants.items()})
+        names = {n: i for i, n, *_ in sorted(entries, key=lambda e: -e[0]) if n}
+        return cls(max_edits, long_form, codes, weight, {k: tuple(sorted(v)) for k, v in forms.items()}, {k: tuple(sorted(v)) for k, v in variants.items()}, names)
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.forms), default=0)
@@ -173,7 +175,8 @@ def matcher(shared, column: int = 1):
                 known.clear()
             for v in values:
                 if v not in known:
-                    known[v] = dictionary.best(v)
+                    # distance -1 marks a name written as in the list, character by character
+                    known[v] = (dictionary.names[v], -1.0) if v in dictionary.names else dictionary.best(v)
             hits = [known[v] for v in values]
             ids = pa.array([h and h[0] for h in hits], pa.int64()).take(coded.indices)
             far = pa.array([h and h[1] for h in hits], pa.float64()).take(coded.indices)
@@ -189,7 +192,7 @@ def map_to_list(rows: DataFrame, entries: DataFrame, *, key: str = "id", value:
     A value that is exactly a name has that entry at distance 0; otherwise the closest entry by weighted
     Damerau-Levenshtein distance within ``max_edits`` (1 for names under 12 letters), ties going to the entry that occurs
     more often written correctly in ``rows``, then to the smaller id. Misses have a null entry. Rows whose key is null
-    are left out, repeated rows are kept, empty tables give no rows, other columns are not read; very long texts are
+    are left out, repeated rows are kept (once, if the list takes several blocks), empty tables give no rows, other columns are not read; very long texts are
     read whole.
 
     The dictionary is broadcast: at most ``block`` entries at once, each of which gives a few hundred short strings. A
@@ -199,15 +202,13 @@ def map_to_list(rows: DataFrame, entries: DataFrame, *, key: str = "id", value:
     typed = rows.select(rows[key].cast("long").alias("key"), rows[value].alias("value")).where(F.col("key").isNotNull() & (F.length(F.regexp_replace("value", r"[\s\p{Z}\x{200b}]+", "")) > 0))
     listed = entries.select(entries[entry_id].cast("long").alias("i"), entries[name].alias("n"), entries[other].alias("o"), entries[code].alias("c")).where(F.col("i").isNotNull())
     # the list is read to the driver a block at a time; its frequencies are one number an entry
-    right = typed.join(F.broadcast(listed.select("i", F.col("n").alias("value"))), "value").groupBy("i").agg(F.count("*").alias("f"))
-    if not exact_too:
-        typed = typed.join(F.broadcast(listed.select(F.col("n").alias("value"))), "value", "left_anti")
-    counted = listed.join(right, "i", "left").orderBy("i").toLocalIterator()
+    spelled = typed.groupBy("value").agg(F.count("*").alias("f")).withColumnRenamed("value", "n")
+    counted = listed.join(spelled, "n", "left").select("i", "n", "o", "c", "f").orderBy("i").toLocalIterator()
     results, part = [], []
 
     def lookup(part):
         d = Dictionary.of([tuple(r)[:4] for r in part], {r["i"]: r["f"] or 0 for r in part}, max_edits)
-        return typed.select("key", "value").mapInArrow(matcher(spark.sparkContext.broadcast(d)), "key long, value string, entry long, distance double")
+        return typed.mapInArrow(matcher(spark.sparkContext.broadcast(d)), "key long, value string, entry long, distance double")
 
     for r in counted:
         part.append(r)
@@ -216,10 +217,11 @@ def map_to_list(rows: DataFrame, entries: DataFrame, *, key: str = "id", value:
             part = []
     if part or not results:
         results.append(lookup(part))
-    if len(results) == 1:
-        return results[0]
-    both = results[0]
-    for r in results[1:]:
-        both = both.unionAll(r)
-    best = both.groupBy("key", "value").agg(F.min(F.when(F.col("entry").isNotNull(), F.struct("distance", "entry"))).alias("b"))
-    return best.select("key", "value", F.col("b.entry").alias("entry"), F.col("b.distance").alias("distance"))
+    best = results[0]
+    if len(results) > 1:
+        for r in results[1:]:
+            best = best.unionAll(r)
+        best = best.groupBy("key", "value").agg(F.min(F.when(F.col("entry").isNotNull(), F.struct("distance", "entry"))).alias("b")).select("key", "value", F.col("b.entry").alias("entry"), F.col("b.distance").alias("distance"))
+    if not exact_too:
+        best = best.where(F.col("distance").isNull() | (F.col("distance") >= 0))
+    return best.withColumn("distance", F.when(F.col("distance") < 0, 0.0).otherwise(F.col("distance")))

@@ -90,8 +90,8 @@ def repeated_share(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 
 
 def language(lang: Column) -> Column:
-    """First two letters in lower case, 'und' where there are none."""
-    two = F.lower(F.regexp_extract(F.coalesce(lang, F.lit("")), r"^\s*(\p{L}{2})", 1))
+    """First two letters a to z in lower case, 'und' where there are none: at most 677 values."""
+    two = F.regexp_extract(F.lower(F.coalesce(lang, F.lit(""))), r"^\s*([a-z]{2})", 1)
     return F.when(two == "", "und").otherwise(two)
 
 
