@@ -268,16 +268,12 @@ def locate(points: DataFrame, regions: DataFrame | None = None, *, radius_m: flo
         zones = regions.where(regions[region_id].isNotNull()).select(regions[region_id].cast("long").alias("id"), regions[ring].alias("ring"))
         placed = placed.unionAll(zones.mapInArrow(_assign_regions(pivots), _ASSIGNED))
     placed = cut(placed)
-    # one count a cell, at most max_pivots of them
-    crowded = {r[0]: math.ceil(r[1] / cell_limit) for r in placed.groupBy("cell").count().where(F.col("count") > cell_limit).collect()}
-    blocks = F.lit(1)
-    if crowded:
-        sizes = F.create_map(*[F.lit(x) for pair in crowded.items() for x in pair])
-        blocks = F.coalesce(sizes[F.col("cell")], F.lit(1))
+    # one row a cell, at most max_pivots of them
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / cell_limit).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id", "lat", "lon"), F.col("blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     spread = (
-        placed.withColumn("blocks", blocks)
+        placed.join(F.broadcast(sizes), "cell")
         .withColumn("block", F.when(F.col("ring").isNull(), own).otherwise(-1))
         .withColumn("other", F.explode(others))
         .withColumn("b0", F.when(F.col("ring").isNotNull(), F.col("other")).otherwise(F.least("block", "other")))
