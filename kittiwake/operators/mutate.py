@@ -28,6 +28,8 @@ def insert(base: DataFrame, batch: DataFrame, unique: Sequence[Sequence[str]], s
     ``reason``. ``seq`` must be unique. Null keys are equal to nothing. Without ``check`` all are accepted."""
     if not check or not unique:
         return batch, batch.limit(0).withColumn("reason", F.lit(""))
+    if len(unique) == 1:
+        return _insert_one_key(base, batch, list(unique[0]), seq)
     open_ = batch
     rejected = None
     for key in unique:
@@ -44,7 +46,7 @@ def insert(base: DataFrame, batch: DataFrame, unique: Sequence[Sequence[str]], s
                 known = known & F.col(k).isNotNull()
             least = open_.where(known).groupBy(*key).agg(F.min(seq).alias("__first"))
             first = first.join(least, list(key), "left").where(F.col("__first").isNull() | (F.col("__first") == F.col(seq))).select(*batch.columns)
-        first = cut(first) if len(unique) > 1 else first
+        first = cut(first)
         accepted = first if accepted is None else accepted.unionByName(first)
         rest = open_.join(first.select(seq), seq, "left_anti")
         for key in unique:
@@ -52,14 +54,22 @@ def insert(base: DataFrame, batch: DataFrame, unique: Sequence[Sequence[str]], s
             lost = rest.join(taken, list(key), "left_semi").select(*batch.columns).withColumn("reason", F.lit("repeated: " + ",".join(key)))
             rejected = rejected.unionByName(lost)
             rest = rest.join(taken, list(key), "left_anti").select(*batch.columns)
-        if len(unique) == 1:
-            return accepted, rejected
         # with several keys a rejected row frees its other keys for later rows; each round settles at least one row
         open_ = cut(rest)
         if not open_.limit(1).count():
             return accepted, rejected
 
 
+def _insert_one_key(base: DataFrame, batch: DataFrame, key: list[str], seq: str) -> tuple[DataFrame, DataFrame]:
+    """Both outcomes from one plan whose shuffles are all by the key."""
+    there = base.select(*key, F.lit(True).alias("__there")).distinct()
+    first = batch.groupBy(*key).agg(F.min(seq).alias("__first"))
+    full = batch.join(first.join(there, key, "left"), key, "left")
+    reason = F.when(F.col("__there"), "exists: " + ",".join(key)).when(F.col("__first") != F.col(seq), "repeated: " + ",".join(key))
+    told = full.select(*[full[c] for c in batch.columns], reason.alias("reason"))
+    return told.where(F.col("reason").isNull()).drop("reason"), told.where(F.col("reason").isNotNull())
+
+
 def upsert(base: DataFrame, batch: DataFrame, key: Sequence[str], seq: str) -> DataFrame:
     """The base with the last change of every key put in; columns and order of columns as in the base."""
     new = _last(batch, key, seq).select(*base.columns)

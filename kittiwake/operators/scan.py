@@ -89,6 +89,16 @@ def project_group(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
     return rows.select(F.struct(*columns).alias(name))
 
 
+def many_cursors(rows: DataFrame, n: int, rid: str) -> list[DataFrame]:
+    """``n`` scans that together see every row once."""
+    return [rows.where(F.pmod(F.xxhash64(rid), F.lit(n)) == k) for k in range(n)]
+
+
+def random_rows(rows: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """A random sample without replacement."""
+    return rows.sample(False, share, seed)
+
+
 def numbered(rows: DataFrame, order: list[Column], name: str = "pos", start: int = 0) -> DataFrame:
     """``rows`` with dense positions in the given total order.
 

@@ -6,13 +6,17 @@ The tables have no record ids or deletion marks of their own: the unique key sta
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kittiwake.functions import coerce, strings
+from kittiwake.functions import bits, coerce, strings
 from kittiwake.operators import index, kv, mutate, pipeline, scan, versions
-from kittiwake.runtime import cut
+from kittiwake.runtime import shared_dir
 from kittiwake.sources import delimited, documents
+from kittiwake.sources.store import Store
 from kittiwake.sources.tables import table
 
 QUERIES: dict = {}
@@ -240,7 +244,7 @@ _BATCH = """
            o_orderkey, o_custkey, o_totalprice FROM batch""")
 def q_insert_unique_reject(spark: SparkSession, d: str) -> DataFrame:
     batch = _batch(spark, d)
-    good, bad = mutate.insert(table(spark, d, "orders"), cut(batch), [["o_orderkey"]], "seq")
+    good, bad = mutate.insert(table(spark, d, "orders"), batch, [["o_orderkey"]], "seq")
     out = good.withColumn("reason", F.lit("accepted")).unionByName(bad)
     return out.select(F.col("reason").alias("outcome"), "o_orderkey", "o_custkey", "o_totalprice")
 
@@ -489,3 +493,81 @@ def q_feed_current(spark: SparkSession, d: str) -> DataFrame:
 @query("q_tweets_nonunique", "SELECT _id, count(*) AS n FROM tweets GROUP BY _id")
 def q_tweets_nonunique(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tweets").groupBy("_id").agg(F.count("*").alias("n"))
+
+
+@query("q_bit_rank", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN row_number() OVER (PARTITION BY o_orderstatus = 'F' ORDER BY o_orderkey) - 1 END AS rank1 FROM orders")
+def q_bit_rank(spark: SparkSession, d: str) -> DataFrame:
+    return bits.with_rank(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), [F.col("o_orderkey").asc()], _gone()).select("o_orderkey", "rank1")
+
+
+@query("q_popcount", "SELECT o_orderkey, bit_count(o_custkey)::INT AS ones FROM orders")
+def q_popcount(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", bits.popcount(F.col("o_custkey")).alias("ones"))
+
+
+@query("q_varint_round_trip", "SELECT o_custkey, max(o_orderkey) AS newest, count(*) AS n FROM orders GROUP BY o_custkey")
+def q_varint_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    lists = table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("ids"))
+    back = lists.select("o_custkey", bits.varint_encode(bits.deltas(F.col("ids"))).alias("packed")).select("o_custkey", bits.varint_decode("packed").alias("steps"))
+    ids = bits.undeltas(F.col("steps"))
+    return back.select("o_custkey", F.array_max(ids).alias("newest"), F.size("steps").cast("long").alias("n"))
+
+
+# a table in a folder, in versions
+
+
+def _folder(spark: SparkSession, label: str) -> str:
+    return os.path.join(shared_dir(spark).removeprefix("file://"), f"{label}-{uuid.uuid4().hex}")
+
+
+def _orders_store(spark: SparkSession, d: str) -> Store:
+    """Orders, then changes from line items, then without the customers in debt: versions 1 to 3."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    store = Store.create(spark, _folder(spark, "orders"), orders.schema, [["o_orderkey"]])
+    store.insert(orders, check=False)
+    store.upsert(_batch(spark, d).select("o_orderkey", "o_custkey", "o_totalprice", "seq"), "seq")
+    debt = table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    store.delete(debt, ["o_custkey"])
+    return store
+
+
+_AFTER = f"""
+    WITH {_BATCH.format('DESC')},
+    up AS (SELECT o_orderkey, o_custkey, o_totalprice FROM batch WHERE n = 1
+           UNION ALL SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM batch))"""
+
+
+@query("q_store_newest", f"{_AFTER} SELECT * FROM up WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def q_store_newest(spark: SparkSession, d: str) -> DataFrame:
+    return _orders_store(spark, d).read()
+
+
+@query("q_store_compacted", f"{_AFTER} SELECT * FROM up WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def q_store_compacted(spark: SparkSession, d: str) -> DataFrame:
+    store = _orders_store(spark, d)
+    store.purge()
+    return store.read()
+
+
+@query("q_store_asof", f"{_AFTER} SELECT * FROM up")
+def q_store_asof(spark: SparkSession, d: str) -> DataFrame:
+    store = _orders_store(spark, d)
+    store.compact()
+    return store.read(2)
+
+
+@query("q_store_changes", f"{_AFTER} SELECT 'delete' AS op, o_orderkey FROM up WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def q_store_changes(spark: SparkSession, d: str) -> DataFrame:
+    return _orders_store(spark, d).changes(2).select("op", "o_orderkey")
+
+
+@query("q_stream_upsert", "SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
+def q_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
+    from kittiwake.streaming.changes import apply_stream
+
+    events = table(spark, d, "events").select("user_id", "event_id", "event_type", F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"))
+    store = Store.create(spark, _folder(spark, "stream"), events.drop("op").schema, [["user_id"]])
+    # the file is one batch of the change stream
+    changes = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d.rstrip('/')}/events.parquet*").select("user_id", "event_id", "event_type", F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"))
+    apply_stream(changes, store, "event_id", _folder(spark, "stream-checkpoint"), op="op").awaitTermination()
+    return store.read()
