@@ -155,9 +155,10 @@ def _left_mass(prefix: str) -> Column:
     return (F.col("d1") * F.col(f"{prefix}_1") + F.col("d2") * F.col(f"{prefix}_2") + F.col("d3") * F.col(f"{prefix}_3")) / F.col(f"{prefix}_all")
 
 
-def kneser_ney(documents: DataFrame) -> DataFrame:
-    """(lang, a, b, c, logp): natural logarithm of the interpolated modified Kneser-Ney probability of c after a b for
-    every trigram of ``documents`` (doc_id, lang, text), sorted by hash inside range partitions.
+def kneser_ney(documents: DataFrame, stored: bool = True) -> DataFrame:
+    """(lang, a, b, c, logp, h): natural logarithm of the interpolated modified Kneser-Ney probability of c after a b for
+    every trigram of ``documents`` (doc_id, lang, text). ``stored``: sorted by the hash h inside range partitions, as the
+    table is kept; a join sorts by h itself.
 
     Trigrams are combined inside each batch before the shuffle; lower orders use continuation counts."""
     tri = cut(documents.mapInArrow(_trigrams(False), _COUNTED).groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n")))
@@ -171,8 +172,8 @@ def kneser_ney(documents: DataFrame) -> DataFrame:
     p2 = p2.select("lang", "b", "c", (_discounted(F.col("n")) / F.col("x_all") + _left_mass("x") * F.col("p1")).alias("p2"))
     p3 = tri.join(_context(tri, ["a", "b"], "n", "x"), ["lang", "a", "b"]).join(p2, ["lang", "b", "c"]).join(F.broadcast(d3), "lang")
     p3 = p3.select("lang", "a", "b", "c", F.log(_discounted(F.col("n")) / F.col("x_all") + _left_mass("x") * F.col("p2")).alias("logp"))
-    h = F.xxhash64("lang", "a", "b", "c")
-    return p3.withColumn("h", h).repartitionByRange("h").sortWithinPartitions("h")
+    p3 = p3.withColumn("h", F.xxhash64("lang", "a", "b", "c"))
+    return p3.repartitionByRange("h").sortWithinPartitions("h") if stored else p3
 
 
 def perplexity_bands(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least_words: int = 20, fence: float = 1.5) -> DataFrame:
@@ -184,9 +185,10 @@ def perplexity_bands(documents: DataFrame, *, doc_id: str = "doc_id", text: str
     document of all its rows' trigrams.
     """
     own = documents.where(documents[doc_id].isNotNull()).select(documents[doc_id].cast("long").alias("doc_id"), language(documents[lang]).alias("lang"), documents[text].alias("text"))
-    model = kneser_ney(own)
-    grams = own.mapInArrow(_trigrams(True), _COUNTED).withColumn("h", F.xxhash64("lang", "a", "b", "c"))
-    scored = grams.join(model.select("h", "lang", "a", "b", "c", "logp"), ["h", "lang", "a", "b", "c"]).groupBy("doc_id", "lang").agg(F.sum("n").alias("grams"), F.sum(F.col("n") * F.col("logp")).alias("total"))
+    # 64-bit hashes stand for trigrams; every trigram scored is in the model, which is of the same texts
+    model = kneser_ney(own, stored=False).select("h", "logp")
+    grams = own.mapInArrow(_trigrams(True), _COUNTED).select("doc_id", "lang", F.col("n").cast("int").alias("n"), F.xxhash64("lang", "a", "b", "c").alias("h"))
+    scored = grams.join(model, "h").groupBy("doc_id", "lang").agg(F.sum("n").alias("grams"), F.sum(F.col("n") * F.col("logp")).alias("total"))
     scored = cut(scored.select("doc_id", "lang", (F.col("grams") + 2).cast("int").alias("words"), (-F.col("total") / F.col("grams")).alias("bits")))
     q = scored.where(F.col("words") >= least_words).groupBy("lang").agg(F.percentile_approx("bits", F.array(F.lit(0.25), F.lit(0.75)), 1000).alias("q"))
     band = q.select("lang", (F.col("q")[0] - fence * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + fence * (F.col("q")[1] - F.col("q")[0])).alias("high"))
