@@ -95,27 +95,33 @@ def language(lang: Column) -> Column:
     return F.when(two == "", "und").otherwise(two)
 
 
+#: Trigrams that are combined in memory at once.
+_GRAMS_AT_ONCE = 200_000
+
+
 def _trigrams(with_doc: bool):
     """Counted trigrams of word hashes: of each batch, or of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-
-        def rows(doc, lang, w: np.ndarray) -> pa.RecordBatch:
-            abc = np.ascontiguousarray(np.stack([w[:, 0], w[:, 1], w[:, 2]], axis=1))
-            key = gram_hashes_rows(abc)
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
-            abc = abc[first].view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([doc] * len(n), pa.int64()), pa.array([lang] * len(n), pa.string()), *(pa.array(abc[:, k]) for k in range(3)), pa.array(n)], names=["doc_id", "lang", "a", "b", "c", "n"])
-
         for batch in batches:
-            docs: dict[tuple, list[np.ndarray]] = {}
-            for d, lang, t in zip(*(c.to_pylist() for c in batch.columns)):
+            ids, langs, kinds = batch.column(0), batch.column(1), batch.column(1).dictionary_encode()
+            codes, parts, owner, held = kinds.indices.to_numpy(zero_copy_only=False), [], [], 0
+            for k, t in enumerate(batch.column(2).to_pylist()):
                 w = hashes.of(text_words(t))
                 if len(w) >= 3:
-                    docs.setdefault((d if with_doc else None, lang), []).append(np.stack([w[:-2], w[1:-1], w[2:]], axis=1))
-            for (d, lang), parts in docs.items():
-                yield rows(d, lang, np.concatenate(parts))
+                    parts.append(np.stack([w[:-2], w[1:-1], w[2:]], axis=1))
+                    owner.append(np.full(len(w) - 2, k if with_doc else codes[k]))
+                    held += len(w)
+                if parts and (held >= _GRAMS_AT_ONCE or k == batch.num_rows - 1):
+                    abc, own = np.concatenate(parts), np.concatenate(owner)
+                    key = gram_hashes_rows(np.column_stack([abc, own.astype(np.uint64)]))
+                    _, first, n = np.unique(key, return_index=True, return_counts=True)
+                    abc, own = abc[first].view(np.int64), own[first]
+                    docs = ids.take(pa.array(own)) if with_doc else pa.nulls(len(own), pa.int64())
+                    lang = (langs if with_doc else kinds.dictionary).take(pa.array(own))
+                    yield pa.RecordBatch.from_arrays([docs, lang, *(pa.array(abc[:, c]) for c in range(3)), pa.array(n)], names=["doc_id", "lang", "a", "b", "c", "n"])
+                    parts, owner, held = [], [], 0
 
     return run
 
