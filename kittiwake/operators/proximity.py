@@ -207,28 +207,41 @@ def _assign_regions(pivots: np.ndarray):
 
 
 def _search(radius_m: float, near: bool):
+    def frame(held: list[np.ndarray]) -> pd.DataFrame:
+        a, b = np.concatenate(held, axis=1)
+        return pd.DataFrame({"kind": "near", "id_a": a, "id_b": b})
+
     def pairs(index: np.ndarray, at: np.ndarray, asked: np.ndarray, q_at: np.ndarray, same: bool) -> Iterator[pd.DataFrame]:
         if not len(index) or not len(asked):
             return
+        held, n = [], 0
         for q, p in VantageTree(at).within(q_at, radius_m):
             if same:
                 q, p = q[q < p], p[q < p]
             a, b = asked[q], index[p]
-            yield pd.DataFrame({"kind": "near", "id_a": np.minimum(a, b), "id_b": np.maximum(a, b)})[a != b]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            held.append(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b])
+            n += len(a)
+            if n > 500_000:
+                yield frame(held)
+                held, n = [], 0
+        if held:
+            yield frame(held)
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # pairs leave as they are found; only the cell itself is held
         _, first, second = key
+        pdf = pd.concat(parts)
         zone = pdf["ring"].notna().to_numpy()
         pts, zones = pdf[~zone], pdf[zone]
         ids, lat, lon, home, block = (pts[k].to_numpy() for k in ("id", "lat", "lon", "home", "block"))
-        xyz, out = unit(lat, lon), []
+        xyz = unit(lat, lon)
         if near and first == second:
-            out += pairs(ids[home], xyz[home], ids[home], xyz[home], True)
-            out += pairs(ids[home], xyz[home], ids[~home], xyz[~home], False)
+            yield from pairs(ids[home], xyz[home], ids[home], xyz[home], True)
+            yield from pairs(ids[home], xyz[home], ids[~home], xyz[~home], False)
         elif near:
             f, s = block == first, block == second
-            out += pairs(ids[home & f], xyz[home & f], ids[s], xyz[s], False)
-            out += pairs(ids[home & s], xyz[home & s], ids[f & ~home], xyz[f & ~home], False)
+            yield from pairs(ids[home & f], xyz[home & f], ids[s], xyz[s], False)
+            yield from pairs(ids[home & s], xyz[home & s], ids[f & ~home], xyz[f & ~home], False)
         if len(zones) and home.any():
             own, o_lat, o_lon = ids[home], lat[home], lon[home]
             tree = VantageTree(xyz[home])
@@ -237,8 +250,7 @@ def _search(radius_m: float, near: bool):
                 _, _, reach = ring_ball(ring)
                 for _, p in tree.within(unit(np.array([z.lat]), np.array([z.lon])), reach):
                     p = p[in_ring(o_lat[p], o_lon[p], ring)]
-                    out.append(pd.DataFrame({"kind": "in", "id_a": z.id, "id_b": own[p]}))
-        return pd.concat(out) if out else pd.DataFrame({"kind": [], "id_a": [], "id_b": []}).astype({"kind": object, "id_a": "int64", "id_b": "int64"})
+                    yield pd.DataFrame({"kind": "in", "id_a": z.id, "id_b": own[p]})
 
     return run
 

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-import os
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +28,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, label: str, **options) -> DataFrame:
-    """``df`` written to a fresh Parquet table in the shared folder and read back."""
-    path = os.path.join(shared_dir(df.sparkSession), f"{label}-{uuid.uuid4().hex}")
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
