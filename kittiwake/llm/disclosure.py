@@ -182,11 +182,12 @@ def word_counts(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
     return each.groupBy("word").agg(*[F.count(F.when(F.col("f") == label, 1)).alias(f"n_{label}") for label in fields])
 
 
-def disclosing_spans(users: DataFrame, cities: DataFrame, *, id_column: str = "id", text: str = "description", name: str = "name", email: str = "email", street: str = "street", city: str = "city", city_name: str = "city_name", other_name: str = "alt_name", threshold_bits: float = 1.0, common_share: float = 1e-5, common_least: int = 20, cue_share: float = 0.2, cue_least: int = 20, form_share: float = 0.1, max_cities: int = 100_000) -> DataFrame:
+def disclosing_spans(users: DataFrame, cities: DataFrame, *, id_column: str = "id", text: str = "description", name: str = "name", email: str = "email", street: str = "street", city: str = "city", city_name: str = "city_name", other_name: str = "alt_name", threshold_bits: float = 1.0, common_share: float = 1e-5, common_least: int = 20, cue_share: float = 0.2, name_cue_share: float = 0.5, cue_least: int = 5, form_share: float = 0.1, max_cities: int = 100_000) -> DataFrame:
     """(id, start, stop, kind, found): the spans of ``text`` that disclose personal information, not overlapping.
 
     kind is email, phone, idno, address or person; start and stop count characters. ``threshold_bits``: least logarithm
-    of a term's rate in the protected field over its rate in the text. Rows without id or text have no span; an id that
+    of a term's rate in the protected field over its rate in the text. ``cue_share``, ``name_cue_share``: least share of
+    disclosing spans after a word before others after it are taken too. Rows without id or text have no span; an id that
     is repeated gets the spans of its rows together; texts are read whole; empty tables give no rows; other columns are
     not read.
 
@@ -224,7 +225,7 @@ def disclosing_spans(users: DataFrame, cities: DataFrame, *, id_column: str = "i
     scored = scored.groupBy(*span).agg(F.min(F.coalesce("bits", F.lit(-99.0))).alias("low"), F.max(F.coalesce("bits", F.lit(-99.0))).alias("high"))
     scored = scored.withColumn("shown", F.when(term == "person", F.col("low")).otherwise(F.col("high")) >= threshold_bits)
     cues = scored.groupBy("kind", "cue").agg(F.count("*").alias("n"), F.count(F.when(F.col("shown"), 1)).alias("n_shown"))
-    cues = cues.where((F.col("n") >= cue_least) & (F.col("n_shown") >= cue_share * F.col("n"))).select("kind", "cue", F.lit(True).alias("leads"))
+    cues = cues.where((F.col("n") >= cue_least) & (F.col("n_shown") >= F.when(F.col("kind") == "person", name_cue_share).otherwise(cue_share) * F.col("n"))).select("kind", "cue", F.lit(True).alias("leads"))
     capital = (term != "person") | F.col("found").rlike(r"^\p{Lu}.*[ ,.]\p{Lu}")
     worded = scored.join(cues, ["kind", "cue"], "left").where(F.col("shown") | (F.col("leads") & capital)).select("id", "start", "stop", "kind", "found")
     by_id = numbers.unionByName(worded).groupBy("id").agg(F.collect_list(F.struct("start", "stop", "kind", "found")).alias("spans"))
