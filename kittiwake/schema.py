@@ -48,13 +48,19 @@ SPARK = {
 
 # Document types that a column type takes by default.
 DOCUMENT_TYPE = {
-    "uint8": "bool", "sint8": "bool", "uint16": "int", "sint16": "int", "uint32": "int", "sint32": "int", "uint64": "long", "sint64": "long",
-    "float32": "double", "float64": "double", "varsint": "long", "varuint": "long", "strzero": "string", "twostrzero": "regex", "binary": "binary",
-    "carbin": "binary", "fixed": "binary", "uuid": "binary",
+    "uint8": "bool", "sint8": "bool", "uint16": "int", "sint16": "int", "uint32": "int", "sint32": "int", "uint64": "long", "sint64": "long", "uint128": "long", "sint128": "long",
+    "float32": "double", "float64": "double", "float128": "decimal", "varsint": "long", "varuint": "long", "strzero": "string", "twostrzero": "regex", "binary": "binary",
+    "carbin": "object", "fixed": "binary", "uuid": "binary", "any": "any",
 }
 
 INTEGERS = frozenset(k for k in WIDTH if "int" in k) | {"varsint", "varuint"}
 NUMBERS = INTEGERS | {"float32", "float64", "float128"}
+#: Column types that may be declared to hold a document type.
+HOLDS = {
+    "bool": INTEGERS, "int": NUMBERS, "long": NUMBERS, "double": {"float32", "float64"}, "decimal": {"float128"}, "date": {"sint32", "uint32", "sint64", "uint64"},
+    "timestamp": {"sint64", "uint64"}, "string": {"strzero", "binary"}, "binary": {"carbin", "strzero", "fixed", "binary", "uuid"}, "array": {"carbin"}, "object": {"carbin"}, "regex": {"twostrzero"}, "oid": {"fixed"},
+}
+_SAME_TYPE = {"bindata": "binary"}
 STRINGS = frozenset({"strzero", "twostrzero", "binary", "carbin"})
 MAX_INDEX_COLUMNS = 64
 MAX_FIXED = 65536
@@ -197,6 +203,18 @@ def _flag(entry: dict, name: str, default: bool) -> bool:
     return bool(entry.get(name, default))
 
 
+def _document_type(name: str, kind: str, length: int | None, declared: str | None) -> str:
+    """The document type of a column, declared or by default; SchemaError where the column cannot hold it."""
+    if declared is None:
+        return "oid" if kind == "fixed" and name == "_id" and length == 12 else DOCUMENT_TYPE[kind]
+    t = _SAME_TYPE.get(declared.lower(), declared.lower())
+    if t not in HOLDS:
+        raise SchemaError(f"column {name!r}: unknown document type {declared!r}")
+    if kind not in HOLDS[t] or (t == "oid" and length != 12):
+        raise SchemaError(f"column {name!r}: {kind} cannot hold {t}")
+    return t
+
+
 def _pairs(pairs: list[tuple[str, object]]) -> dict:
     out: dict = {}
     for k, v in pairs:
@@ -231,7 +249,7 @@ def load(text: str) -> TableDef:
             length = entry.get("length")
             if not isinstance(length, int) or not 1 <= length <= MAX_FIXED:
                 raise SchemaError(f"column {name!r}: length must be 1 to {MAX_FIXED}")
-        columns.append(Column(name, kind, length, entry.get("mongoType"), _flag(entry, "colstore", False)))
+        columns.append(Column(name, kind, length, _document_type(name, kind, length, entry.get("mongoType")), _flag(entry, "colstore", False)))
     known = {c.name: c for c in columns}
 
     indexes: list[Index] = []

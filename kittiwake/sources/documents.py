@@ -64,7 +64,8 @@ def encode(rows: DataFrame, definition: TableDef, doc: str = "doc") -> DataFrame
 
 
 def decode(rows: DataFrame, definition: TableDef, name: str = "doc") -> DataFrame:
-    """JSON documents of declared columns, undeclared fields after them; binary as {"$binary": base64}."""
+    """JSON documents of declared columns, undeclared fields after them; binary as {"$binary": base64}, and dates, object
+    ids and booleans by their declared document type."""
     cols = []
     for c in definition.columns:
         if c.name == TAIL:
@@ -72,6 +73,12 @@ def decode(rows: DataFrame, definition: TableDef, name: str = "doc") -> DataFram
         x = F.col(f"`{c.name}`")
         if c.kind == "twostrzero":
             x = F.struct(x["pattern"].alias("$regex"), x["options"].alias("$options"))
+        elif c.document_type == "oid":
+            x = F.struct(F.lower(F.hex(x)).alias("$oid"))
+        elif c.document_type == "date":
+            x = F.struct((x.cast("bigint") * (1000 if c.width == 4 else 1)).alias("$date"))
+        elif c.document_type == "bool":
+            x = x != 0
         elif c.kind in ("binary", "carbin", "fixed", "uuid"):
             x = F.struct(F.base64(x).alias("$binary"))
         cols.append(x.alias(c.name))

@@ -54,3 +54,14 @@ def test_tail_nested_and_equality():
 
 def test_sizes():
     assert [parse_size(x) for x in (5, "10", "1K", "2 MB", "1.5g", "1TiB")] == [5, 10, 1024, 2 << 20, 3 << 29, 1 << 40]
+
+
+def test_document_types():
+    kinds = {"a": ("int32", "date"), "b": ("strzero", "bindata"), "c": ("double", "double"), "d": ("int64", "timestamp"), "e": ("carbin", "array"), "f": ("twostrzero", "regex"), "g": ("int8", "bool")}
+    t = load(text({k: {"type": a, "mongoType": m} for k, (a, m) in kinds.items()} | {"_id": {"type": "fixed", "length": 12}, "n": {"type": "uint32"}}))
+    assert [c.document_type for c in t.columns] == ["date", "binary", "double", "timestamp", "array", "regex", "bool", "oid", "int"]
+    for kind, wrong in (("int32", "double"), ("int32", "timestamp"), ("strzero", "array"), ("strzero", "int"), ("int8", "date"), ("int32", "no")):
+        with pytest.raises(SchemaError):
+            load(text({"a": {"type": kind, "mongoType": wrong}}))
+    with pytest.raises(SchemaError):
+        load(text({"a": {"type": "fixed", "length": 11, "mongoType": "oid"}}))

@@ -170,7 +170,7 @@ def test_stream_is_applied_once(spark, tmp_path):
 
 
 def test_documents_round_trip(spark):
-    t = load('{"RowSchema": {"columns": {"a": {"type": "int32"}, "b": {"type": "uint8"}, "s": {"type": "strzero"}, "x": {"type": "double"}, "r": {"type": "twostrzero"}, "o": {"type": "fixed", "length": 12}, "$$": {"type": "carbin"}}}}')
+    t = load('{"RowSchema": {"columns": {"a": {"type": "int32"}, "b": {"type": "uint8", "mongoType": "int"}, "s": {"type": "strzero"}, "x": {"type": "double"}, "r": {"type": "twostrzero"}, "o": {"type": "fixed", "length": 12}, "$$": {"type": "carbin"}}}}')
     docs = [
         '{"a": 5, "b": 300, "s": "t", "x": "1.5", "r": {"$regex": "a+", "$options": "i"}, "o": {"$oid": "0123456789abcdef01234567"}, "more": [1, {"z": "1"}], "n": null}',
         '{"a": "-7", "b": true, "s": 2.5, "x": {"$minKey": 1}}', '{"a": 1e20, "x": null, "s": {"k": 1}}', "{}", None, '{"a": {"$date": 1999}, "b": {"$maxKey": 1}}',
@@ -183,6 +183,9 @@ def test_documents_round_trip(spark):
     assert '"more":[1,{"z":"1"}]' in back[0].doc
     again = documents.encode(documents.decode(documents.encode(rows, t), t), t).collect()
     assert [tuple(r)[:5] for r in again] == [tuple(r)[:5] for r in got]
+    dated = load('{"RowSchema": {"columns": {"d": {"type": "int32", "mongoType": "date"}, "e": {"type": "int64", "mongoType": "date"}, "o": {"type": "fixed", "length": 12, "mongoType": "oid"}, "t": {"type": "uint8"}}}}')
+    doc = '{"d":{"$date":5000},"e":{"$date":-7},"o":{"$oid":"0123456789abcdef01234567"},"t":true}'
+    assert documents.decode(documents.encode(spark.createDataFrame([(doc,)], "doc string"), dated), dated).first().doc == doc
     strict = load('{"RowSchema": {"columns": {"a": {"type": "int32"}}}}')
     assert documents.encode(spark.createDataFrame([('{"a": 3}',)], "doc string"), strict).first().a == 3
     with pytest.raises(Exception, match="undeclared"):
