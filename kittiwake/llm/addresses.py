@@ -64,6 +64,10 @@ def parse_street(text: str | None) -> tuple[str | None, str | None, str | None,
     return number or None, name, kind, unit and unit[1], " ".join(rest) or None
 
 
+#: Digits of a zipcode that name its region.
+_REGION = 3
+
+
 def parse_zip(text: str | None, digits: int = 5) -> str | None:
     """The leading ``digits`` digits of a zipcode, or None if there are fewer."""
     d = re.sub(r"\D", "", text or "")
@@ -134,8 +138,8 @@ def link_addresses(users: DataFrame, cities: DataFrame, *, id_column: str = "id"
     several; ``ambiguous`` is true where such a type is missing. Null, empty or unreadable parts are null; very long
     texts are parsed whole; repeated rows are kept; empty tables give no rows.
 
-    Broadcast: the dictionary of ``cities``, refused beyond ``max_cities``, and the city of each zipcode of five digits,
-    at most 100,000 rows.
+    Broadcast: the dictionary of ``cities``, refused beyond ``max_cities``, the city of each zipcode of five digits, at most
+    100,000 rows, and of each region, at most 1,000.
     """
     spark = users.sparkSession
     entries = cities.select(cities[city_id].cast("long"), cities[city_name], cities[other_name], cities[code]).limit(max_cities + 1).collect()
@@ -144,9 +148,14 @@ def link_addresses(users: DataFrame, cities: DataFrame, *, id_column: str = "id"
     shared = spark.sparkContext.broadcast(Dictionary.of([tuple(e) for e in entries], {}))
     raw = users.where(users[id_column].isNotNull()).select(users[id_column].cast("long").alias("id"), users[street].alias("s"), users[city].alias("c"), users[zipcode].alias("z"))
     parsed = cut(raw.mapInArrow(_parse(shared), _PARSED))
-    by_zip = parsed.where(F.col("zip").isNotNull() & F.col("city").isNotNull()).groupBy("zip", "city").agg(F.count("*").alias("n"))
-    by_zip = by_zip.groupBy("zip").agg(F.max(F.struct("n", "city"))["city"].alias("told"))
-    placed = parsed.join(F.broadcast(by_zip), "zip", "left").withColumn("city", F.coalesce("city", "told")).drop("told")
+    seen = cut(parsed.where(F.col("zip").isNotNull() & F.col("city").isNotNull()).groupBy("zip", "city").agg(F.count("*").alias("n")))
+    by_zip = seen.groupBy("zip").agg(F.max(F.struct("n", "city"))["city"].alias("told"))
+    # a zipcode not seen with a city tells it by its region, where that lies in one city
+    region = F.substring("zip", 1, _REGION)
+    by_region = seen.groupBy(region.alias("region"), "city").agg(F.sum("n").alias("n")).groupBy("region").agg(F.sum("n").alias("all"), F.max(F.struct("n", "city")).alias("top"))
+    by_region = by_region.where(F.col("top.n") >= 0.9 * F.col("all")).select("region", F.col("top.city").alias("near"))
+    placed = parsed.join(F.broadcast(by_zip), "zip", "left").withColumn("region", region).join(F.broadcast(by_region), "region", "left")
+    placed = placed.withColumn("city", F.coalesce("city", "told", "near")).drop("told", "near", "region")
     named = placed.where(F.col("city").isNotNull() & F.col("name").isNotNull())
     link = link_streets(named)
     kinds = named.where(F.col("kind").isNotNull()).groupBy("city", "name", "kind").agg(F.count("*").alias("n")).join(link, ["city", "name"]).groupBy("city", "root", "kind").agg(F.sum("n").alias("n"))

@@ -43,6 +43,13 @@ def test_levels_stay_explicit(spark):
     assert not {tuple(r) for r in same_building(kinds, ref).collect()}
 
 
+def test_region_of_an_unseen_zipcode(spark):
+    rows = [(1, "1 Plenno Square", "Gerdrioth", "10001"), (2, "1 Plenno Square", None, "10077"), (3, "1 Plenno Square", "Harnplon", "10202"), (4, "1 Plenno Square", "Gerdrioth", "10303"), (5, "1 Plenno Square", "Harnplon", "10304"), (6, "1 Plenno Square", "xxx", "10305")]
+    _, ref, _ = same(spark)
+    got = {r.id: r.city for r in link_addresses(spark.createDataFrame([(*r, 1, "", "") for r in rows], USER), ref).collect()}
+    assert got == {1: 1, 2: 1, 3: 2, 4: 1, 5: 2, 6: None}
+
+
 def test_empty(spark):
     df, ref, _ = same(spark)
     assert same_building(df.limit(0), ref).count() == 0
