@@ -2,13 +2,16 @@
 
 A positional inverted index of the corpus is intersected from the rarest terms of each test passage: every window of
 ``min_words`` words is looked up by its rarest word, the lists of its next rarest words are intersected at their offsets,
-and what remains is compared word by word.
+and what remains is compared word by word. Where words may be moved or missing, pairs of the rarest words are looked up,
+as many as it takes that no window is lost, and all words of the window are compared.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,36 +80,82 @@ def _plan_probes(items: list[tuple[int, list[str]]], frequency: dict[str, int],
     return sorted(rows)
 
 
-def _block_matches(documents: DataFrame, items: list[tuple[int, list[str]]], doc_id: str, text: str, min_words: int, slack: int) -> DataFrame:
+def _plan_pairs(items: list[tuple[int, list[str]]], frequency: dict[str, int], min_words: int, missing: int) -> list[tuple]:
+    """(item, position and term of a word, then of another) so that every window with at most ``missing`` words out of
+    place has both words of one of its rows in place; windows that cannot occur have no rows."""
+    rows, need = set(), min_words - missing
+    for item, w in items:
+        for s in range(len(w) - min_words + 1):
+            there = sorted((k for k in range(s, s + min_words) if w[k] in frequency), key=lambda k: (frequency[w[k]], w[k], k))
+            # of the words that occur at all, so many may still be out of place: two of two more than that are not
+            spare = len(there) - need
+            if spare < 0:
+                continue
+            pairs = combinations(there[: spare + 2], 2) if need > 1 else ((k, k) for k in there)
+            rows.update((item, j, w[j], k, w[k]) for j, k in pairs)
+    return sorted(rows)
+
+
+def _in_place(w: list[str], at: dict[str, list[int]], place: int, start: int, min_words: int, missing: int, slack: int) -> bool:
+    """Whether a window of ``w`` around the word at ``place`` has all but ``missing`` words within ``slack`` of where they
+    would be if ``w`` began at ``start``, or up to ``slack`` words from it."""
+    low, high = max(0, place - min_words + 1), min(len(w), place + min_words)
+    lists = [at.get(x, ()) for x in w[low:high]]
+    for first in range(start - slack, start + slack + 1):
+        fits = []
+        for k, there in enumerate(lists, first + low):
+            j = bisect_left(there, k - slack)
+            fits.append(j < len(there) and there[j] <= k + slack)
+        if any(sum(fits[s : s + min_words]) >= min_words - missing for s in range(len(fits) - min_words + 1)):
+            return True
+    return False
+
+
+def _hits(postings: DataFrame, asked: DataFrame, first: frozenset[str]) -> DataFrame:
+    """The rows of ``asked`` at every place of their first term: with doc_id, and start, where the item would begin."""
+    hits = postings.where(F.col("term").isin(*first) if len(first) <= 1000 else F.lit(True)).withColumnRenamed("term", "t1").join(asked, "t1")
+    return hits.withColumn("at", F.explode("positions")).withColumn("start", F.col("at") - F.col("p1")).drop("at", "t1", "positions")
+
+
+def _beside(hits: DataFrame, postings: DataFrame, p: str, t: str, slack: int) -> DataFrame:
+    """Those hits that have the term of ``t`` within ``slack`` of its place."""
+    lists = postings.select(F.col("term").alias(t), "doc_id", F.col("positions").alias("there"))
+    place = F.col("start") + F.col(p)
+    fits = F.array_contains("there", place) if not slack else F.exists("there", lambda x: F.abs(x - place) <= slack)
+    return hits.join(lists, ["doc_id", t]).where(fits).drop("there")
+
+
+def _block_matches(documents: DataFrame, items: list[tuple[int, list[str]]], doc_id: str, text: str, min_words: int, slack: int, missing: int) -> DataFrame:
     spark = documents.sparkSession
     vocabulary = frozenset(x for _, w in items if len(w) >= min_words for x in w)
     # one number a word of the test set
     frequency = {r[0]: r[1] for r in document_frequencies(documents, vocabulary, doc_id, text).collect()}
-    probes = _plan_probes(items, frequency, min_words)
-    schema = "item long, p1 int, t1 string, p2 int, t2 string, p3 int, t3 string"
-    asked = spark.createDataFrame(probes, schema)
-    first = frozenset(r[2] for r in probes)
-    postings = cut(build_postings(documents, doc_id, text, frozenset(x for r in probes for x in (r[2], r[4], r[6]))))
-    hits = postings.where(F.col("term").isin(*first) if len(first) <= 1000 else F.lit(True)).withColumnRenamed("term", "t1").join(asked, "t1")
-    hits = hits.select("item", "doc_id", "p2", "t2", "p3", "t3", F.explode("positions").alias("at"), "p1").withColumn("start", F.col("at") - F.col("p1")).drop("at", "p1")
-    for p, t in (("p2", "t2"), ("p3", "t3")):
-        lists = postings.select(F.col("term").alias(t), "doc_id", F.col("positions").alias("there"))
-        place = F.col("start") + F.col(p)
-        fits = F.array_contains("there", place) if not slack else F.exists("there", lambda x: F.abs(x - place) <= slack)
-        hits = hits.join(lists, ["doc_id", t]).where(fits).drop("there")
-    found = hits.select("item", "doc_id", "start").distinct()
-    if slack:
-        return found.select(F.col("item").alias("item_id"), "doc_id").distinct().withColumn("words", F.lit(None).cast("int"))
     shared = spark.sparkContext.broadcast(dict(items))
+    near = bool(slack or missing)
+    probes = _plan_pairs(items, frequency, min_words, missing) if near else _plan_probes(items, frequency, min_words)
+    asked = spark.createDataFrame(probes, "item long, p1 int, t1 string, p2 int, t2 string" + ("" if near else ", p3 int, t3 string"))
+    postings = cut(build_postings(documents, doc_id, text, frozenset(x for r in probes for x in r[2::2])))
+    hits = _hits(postings, asked, frozenset(r[2] for r in probes))
+    # where words may be moved, either of two may be by slack
+    for k in range(2, len(asked.columns) // 2 + 1):
+        hits = _beside(hits, postings, f"p{k}", f"t{k}", 2 * slack)
+    found = hits.select("item", "doc_id", "start", F.col("p1") if near else F.lit(0).alias("p1")).distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
         for b in batches:
-            out: dict[tuple[int, int], int] = {}
+            out: dict[tuple[int, int], int | None] = {}
             for d, starts, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 w = text_words(t)
+                at: dict[str, list[int]] = defaultdict(list)
+                for k, x in enumerate(w if near else ()):
+                    at[x].append(k)
                 for s in starts:
                     item, start = s["item"], s["start"]
+                    if near:
+                        if (item, d) not in out and _in_place(wanted[item], at, s["p1"], start, min_words, missing, slack):
+                            out[item, d] = None
+                        continue
                     run = longest = 0
                     for k, x in enumerate(wanted[item]):
                         run = run + 1 if 0 <= start + k < len(w) and w[start + k] == x else 0
@@ -115,28 +164,30 @@ def _block_matches(documents: DataFrame, items: list[tuple[int, list[str]]], doc
                         out[item, d] = max(longest, out.get((item, d), 0))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()), pa.array(list(out.values()), pa.int32())], names=["item_id", "doc_id", "words"])
 
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("item", "start")).alias("starts"))
+    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("item", "start", "p1")).alias("starts"))
     checked = by_doc.join(_texts(documents, doc_id, text), "doc_id").select("doc_id", "starts", "text")
     return checked.mapInArrow(verify, "item_id long, doc_id long, words int").groupBy("item_id", "doc_id").agg(F.max("words").alias("words"))
 
-
-def leaks(documents: DataFrame, items: DataFrame, *, min_words: int = 12, slack: int = 0, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", prompt: str = "prompt", block: int = 5000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, *, min_words: int = 12, slack: int = 0, missing: int = 0, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", prompt: str = "prompt", block: int = 5000) -> DataFrame:
     """(item_id, doc_id, words): documents that hold at least ``min_words`` consecutive words of an item, with the
     longest such run; one row a pair.
 
-    With ``slack`` the match is one of proximity: the rarest words of a window stand within so many words of where the
-    item has them, and ``words`` is null. Null and empty texts, prompts shorter than the window and null ids match
+    With ``slack`` or ``missing`` the match is one of proximity: there is a place in the document at which all words of a
+    window of ``min_words``, but for at most ``missing`` of them, stand within ``slack`` words of where the item has them,
+    and ``words`` is null. A word of the document may stand for several equal ones of the window. Null and empty texts, prompts shorter than the window and null ids match
     nothing; copies of a document or item are all reported; an item id that is repeated must have one prompt; empty
     tables give no rows; other columns are not read. Texts are read whole.
 
     Items are taken in blocks of ``block``; the words of one block are the only thing broadcast.
     """
+    if slack < 0 or not 0 <= missing < min_words:
+        raise ValueError("slack must not be negative, missing must be less than min_words")
     spark = documents.sparkSession
     results, part = [], []
 
     def take(rows) -> None:
         own = [(r[0], text_words(r[1])) for r in rows]
-        results.append(_block_matches(documents, own, doc_id, text, min_words, slack))
+        results.append(_block_matches(documents, own, doc_id, text, min_words, slack, missing))
 
     for r in items.where(items[item_id].isNotNull() & items[prompt].isNotNull()).select(items[item_id].cast("long"), items[prompt]).distinct().toLocalIterator():
         part.append(r)

@@ -52,6 +52,66 @@ def test_against_brute_force(spark):
     assert set(want) <= near
 
 
+def near_pairs(docs, items, slack, missing, n=12):
+    """Every item at every place of every document, each word looked for around its place."""
+    found = set()
+    for i, p in items:
+        for d, t in docs:
+            w, x = text_words(p), text_words(t)
+            if i is None or d is None or (i, d) in found or len(w) < n or not x:
+                continue
+            for start in range(-len(w) - slack, len(x) + slack + 1):
+                fits = [w[k] in x[max(0, start + k - slack) : max(0, start + k + slack + 1)] for k in range(len(w))]
+                if any(sum(fits[s : s + n]) >= n - missing for s in range(len(w) - n + 1)):
+                    found.add((i, d))
+                    break
+    return found
+
+
+def test_near_against_brute_force(spark):
+    rng = random.Random(5)
+    vocab = ["the", "a", "of", "log"] * 2 + [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.randint(11, 30)))) for k in range(8)] + [(20, None), (21, ""), (22, "the " * 13)]
+    docs = []
+    for d in range(120):
+        w = [rng.choice(vocab) for _ in range(rng.randint(0, 20))]
+        p = text_words(items[d % 8][1])
+        at = rng.randint(0, max(0, len(p) - 14))
+        p = p[at : at + 14]
+        for _ in range(d % 5):
+            k = rng.randrange(len(p))
+            # replaced by a word of no document, left out, put in, or moved
+            p[k : k + 1] = rng.choice([["unseen" + str(d)], [], [p[k], rng.choice(vocab)], []])
+        if d % 7 == 0:
+            k = rng.randrange(len(p))
+            p.insert(rng.randrange(len(p)), p.pop(k))
+        w[len(w) // 2 : len(w) // 2] = p
+        docs.append((d, " ".join(w)))
+    docs += [(200, None), (201, ""), (202, "the " * 200), (None, items[0][1])]
+    d = spark.createDataFrame([(*x, 1, 1) for x in docs], DOC)
+    i = spark.createDataFrame([(*x, 1, 1) for x in items], ITEM)
+    sizes = set()
+    for slack, missing in ((2, 0), (4, 1), (0, 1), (1, 3)):
+        want = near_pairs(docs, items, slack, missing)
+        rows = [(r.item_id, r.doc_id) for r in leaks(d, i, slack=slack, missing=missing).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want, (slack, missing)
+        sizes.add(len(want))
+    assert len(sizes) == 4 and min(sizes) > 20
+
+
+def test_a_replaced_word(spark):
+    words = [f"w{k}" for k in range(12)]
+    others = [(k, " ".join(words[k:] + ["x"] * k)) for k in range(1, 12)]
+    d = spark.createDataFrame([(0, " ".join(words[:11] + ["other"]), 1, 1), (50, "w0 w1 w2", 1, 1), *((*o, 1, 1) for o in others[6:])], DOC)
+    i = spark.createDataFrame([(1, " ".join(words[:11] + ["w99"]), 1, 1)], ITEM)
+    assert [(r.item_id, r.doc_id) for r in leaks(d, i, slack=4, missing=1).collect()] == [(1, 0)]
+    assert not leaks(d, i, slack=4).collect()
+    # three rare words in place are not enough
+    rare = spark.createDataFrame([(0, "z0 z1 z2 " + " ".join(words[3:]), 1, 1), (1, "w0 w1 w2", 1, 1), *((k, " ".join(words[3:]), 1, 1) for k in range(2, 9))], DOC)
+    whole = spark.createDataFrame([(1, " ".join(words), 1, 1)], ITEM)
+    assert not leaks(rare, whole, slack=4).collect() and not leaks(rare, whole, slack=4, missing=1).collect()
+
+
 def test_postings(spark):
     d = spark.createDataFrame([(1, "b a, B!", 1, 1), (2, None, 1, 1), (3, "", 1, 1)], DOC)
     assert {(r.term, r.doc_id, tuple(r.positions)) for r in build_postings(d).collect()} == {("b", 1, (0, 2)), ("a", 1, (1,))}
