@@ -216,7 +216,9 @@ def disclosing_spans(users: DataFrame, cities: DataFrame, *, id_column: str = "i
     forms = numbers.groupBy("form").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("cue") == k, 1)).alias(k) for k in LABELS])
     best = F.greatest(*LABELS)
     told = forms.where(best >= form_share * F.col("n")).select("form", F.when(F.col("idno") == best, "idno").otherwise("phone").alias("told"))
-    numbers = numbers.join(told, "form").select("id", "start", "stop", F.col("told").alias("kind"), "found")
+    # a label of its own decides; the form only tells numbers without one
+    own = F.when(F.col("cue") != "", F.col("cue"))
+    numbers = numbers.join(told, "form", "left").withColumn("kind", F.coalesce(own, "told")).where(F.col("kind").isNotNull()).select("id", "start", "stop", "kind", "found")
 
     span = ["id", "start", "stop", "kind", "found", "cue"]
     term = F.col("kind")

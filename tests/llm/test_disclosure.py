@@ -52,3 +52,12 @@ def test_empty(spark):
     users, ref = frame(spark)
     assert disclosing_spans(users.limit(0), ref).count() == 0
     assert {r.kind for r in disclosing_spans(users, ref.limit(0)).collect()} == {"email", "phone", "idno", "address", "person"}
+
+
+def test_a_label_decides_before_the_form(spark):
+    _, ref = frame(spark)
+    texts = [f"Row {100000000 + k} was merged." for k in range(60)] + ["Passport 123456789 on file.", "Phone 223456789 after noon."]
+    texts += [f"Ring 55-{1000 + k} today." for k in range(6)] + ["Badge 55-7777 is new.", "Wrote 55-8888 down."]
+    users = spark.createDataFrame([(k, "Jion Drioth", "u@peik.example", "12 Ranbek Square", "Brethkei", x, 1, "") for k, x in enumerate(texts)], USER)
+    got = {r.id: (r.kind, r.found) for r in disclosing_spans(users, ref).collect()}
+    assert got == {60: ("idno", "123456789"), 61: ("phone", "223456789"), **{62 + k: ("phone", f"55-{1000 + k}") for k in range(6)}, 68: ("idno", "55-7777"), 69: ("phone", "55-8888")}
