@@ -111,8 +111,8 @@ class Dictionary:
     names: dict[str, int] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, entries: Iterable[tuple[int, str | None, str | None, str | None]], weight: dict[int, int], max_edits: int = 2, long_form: int = 12) -> Dictionary:
-        """entries: (id, name, other name, region code)."""
+    def of(cls, entries: Iterable[tuple[int, str | None, str | None, str | None]], weight: dict[int, int], max_edits: int = 2, long_form: int = 12, codes: Iterable[str] = ()) -> Dictionary:
+        """entries: (id, name, other name, region code); codes: region codes of entries that are not here."""
         entries = [e for e in entries if e[0] is not None]
         forms: dict[str, set[int]] = defaultdict(set)
         for i, name, other, _ in entries:
@@ -123,7 +123,7 @@ class Dictionary:
         for f in forms:
             for v in deletes(f, max_edits if len(f) >= long_form else 1):
                 variants[v].add(f)
-        codes = frozenset(bare(c) for *_, c in entries if c)
+        codes = frozenset(bare(c) for c in (*codes, *(e[-1] for e in entries)) if c)
         names = {n: i for i, n, *_ in sorted(entries, key=lambda e: -e[0]) if n}
         return cls(max_edits, long_form, codes, weight, {k: tuple(sorted(v)) for k, v in forms.items()}, {k: tuple(sorted(v)) for k, v in variants.items()}, names)
 
@@ -142,10 +142,16 @@ class Dictionary:
 
     def best(self, typed: str) -> tuple[int, float] | None:
         """(entry, distance) of the closest entry within bounds, or None."""
+        hit = self.closest(typed)
+        return hit and (hit[3], hit[0])
+
+    def closest(self, typed: str) -> tuple[float, int, int, int] | None:
+        """(distance, reading, negative weight, entry) of the closest entry, the least of all dictionaries of a list;
+        reading is the number of the one that is a form as it is, or 0."""
         ranked = []
-        for r in self.readings(typed):
+        for n, r in enumerate(self.readings(typed)):
             if r in self.forms:
-                ranked += [(0.0, -self.weight.get(i, 0), i) for i in self.forms[r]]
+                ranked += [(0.0, n, -self.weight.get(i, 0), i) for i in self.forms[r]]
                 break
             most = self.max_edits if len(r) >= self.long_form else 1
             if len(r) > self.longest + most:
@@ -154,20 +160,17 @@ class Dictionary:
             for f in near:
                 d = weighted_distance(r, f, min(most, self.max_edits if len(f) >= self.long_form else 1))
                 if d < float("inf"):
-                    ranked += [(d, -self.weight.get(i, 0), i) for i in self.forms[f]]
-        if not ranked:
-            return None
-        d, _, i = min(ranked)
-        return i, d
+                    ranked += [(d, 0, -self.weight.get(i, 0), i) for i in self.forms[f]]
+        return min(ranked, default=None)
 
 
 def matcher(shared, column: int = 1):
-    """Batches with the entry and distance of the text in ``column`` appended; each value is looked up once a batch run,
+    """Batches with ``closest`` of the text in ``column`` appended, named distance, reading, seldom and entry; each value is looked up once a batch run,
     with a cache of at most 200,000 values that is emptied when full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary: Dictionary = shared.value
-        known: dict[str, tuple[int, float] | None] = {}
+        known: dict[str, tuple[float, int, int, int] | None] = {}
         for b in batches:
             coded = b.column(column).dictionary_encode()
             values = coded.dictionary.to_pylist()
@@ -176,11 +179,10 @@ def matcher(shared, column: int = 1):
             for v in values:
                 if v not in known:
                     # distance -1 marks a name written as in the list, character by character
-                    known[v] = (dictionary.names[v], -1.0) if v in dictionary.names else dictionary.best(v)
+                    known[v] = (-1.0, 0, 0, dictionary.names[v]) if v in dictionary.names else dictionary.closest(v)
             hits = [known[v] for v in values]
-            ids = pa.array([h and h[0] for h in hits], pa.int64()).take(coded.indices)
-            far = pa.array([h and h[1] for h in hits], pa.float64()).take(coded.indices)
-            yield pa.RecordBatch.from_arrays([*b.columns, ids, far], names=[*b.schema.names, "entry", "distance"])
+            found = [pa.array([h and h[k] for h in hits], t).take(coded.indices) for k, t in enumerate((pa.float64(), pa.int64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *found], names=[*b.schema.names, "distance", "reading", "seldom", "entry"])
 
     return run
 
@@ -192,11 +194,12 @@ def map_to_list(rows: DataFrame, entries: DataFrame, *, key: str = "id", value:
     A value that is exactly a name has that entry at distance 0; otherwise the closest entry by weighted
     Damerau-Levenshtein distance within ``max_edits`` (1 for names under 12 letters), ties going to the entry that occurs
     more often written correctly in ``rows``, then to the smaller id. Misses have a null entry. Rows whose key is null
-    are left out, repeated rows are kept (once, if the list takes several blocks), empty tables give no rows, other columns are not read; very long texts are
-    read whole.
+    are left out, repeated rows are kept, empty tables give no rows, other columns are not read; very long texts are
+    read whole. A list in several blocks gives the same rows as in one.
 
     The dictionary is broadcast: at most ``block`` entries at once, each of which gives a few hundred short strings. A
-    longer list is taken block by block and the best hit of each row is kept.
+    longer list is taken block by block and the best hit of each distinct value is kept; its region codes are then
+    collected.
     """
     spark = rows.sparkSession
     typed = rows.select(rows[key].cast("long").alias("key"), rows[value].alias("value")).where(F.col("key").isNotNull() & (F.length(F.regexp_replace("value", r"[\s\p{Z}\x{200b}]+", "")) > 0))
@@ -204,24 +207,30 @@ def map_to_list(rows: DataFrame, entries: DataFrame, *, key: str = "id", value:
     # the list is read to the driver a block at a time; its frequencies are one number an entry
     spelled = typed.groupBy("value").agg(F.count("*").alias("f")).withColumnRenamed("value", "n")
     counted = listed.join(spelled, "n", "left").select("i", "n", "o", "c", "f").orderBy("i").toLocalIterator()
-    results, part = [], []
+    results, part, codes = [], [], []
+    rank = ["distance", "reading", "seldom", "entry"]
 
     def lookup(part):
-        d = Dictionary.of([tuple(r)[:4] for r in part], {r["i"]: r["f"] or 0 for r in part}, max_edits)
-        return typed.mapInArrow(matcher(spark.sparkContext.broadcast(d)), "key long, value string, entry long, distance double")
+        d = Dictionary.of([tuple(r)[:4] for r in part], {r["i"]: r["f"] or 0 for r in part}, max_edits, codes=codes)
+        run, found = matcher(spark.sparkContext.broadcast(d), 1 if single else 0), ", distance double, reading long, seldom long, entry long"
+        return (typed if single else typed.select("value").distinct()).mapInArrow(run, ("key long, value string" if single else "value string") + found)
 
+    single = True
     for r in counted:
-        part.append(r)
         if len(part) == block:
+            if single:
+                single, codes = False, [c[0] for c in listed.select("c").distinct().collect()]
             results.append(lookup(part))
             part = []
-    if part or not results:
-        results.append(lookup(part))
+        part.append(r)
+    results.append(lookup(part))
     best = results[0]
-    if len(results) > 1:
+    if not single:
         for r in results[1:]:
             best = best.unionAll(r)
-        best = best.groupBy("key", "value").agg(F.min(F.when(F.col("entry").isNotNull(), F.struct("distance", "entry"))).alias("b")).select("key", "value", F.col("b.entry").alias("entry"), F.col("b.distance").alias("distance"))
+        best = best.groupBy("value").agg(F.min(F.when(F.col("entry").isNotNull(), F.struct(*rank))).alias("b")).select("value", "b.*")
+        best = typed.join(best, "value")
+    best = best.select("key", "value", "entry", "distance")
     if not exact_too:
         best = best.where(F.col("distance").isNull() | (F.col("distance") >= 0))
     return best.withColumn("distance", F.when(F.col("distance") < 0, 0.0).otherwise(F.col("distance")))

@@ -56,3 +56,12 @@ def test_ties_go_to_the_more_frequent(spark):
     ref = spark.createDataFrame([(1, "Mabbet", None, None, ""), (2, "Mappet", None, None, "")], REF)
     rows = spark.createDataFrame([(1, "Mappet"), (2, "Mappet"), (3, "Mabbet"), (4, "Mabpet")], "id long, city string")
     assert {r.key: r.entry for r in map_to_list(rows, ref).collect()}[4] == 2
+
+
+def test_blocks_give_the_rows_of_one_block(spark):
+    ref = spark.createDataFrame([(1, "Mabbet", None, "KD", ""), (2, "Mappet", None, "VZ", ""), (3, "Sorn", None, "KD", ""), (4, "Sorn Town", None, "RA", "")], REF)
+    rows = spark.createDataFrame([(1, "Mappet"), (2, "Mappet"), (3, "Mabbet"), (4, "Mabpet"), (4, "Mabpet"), (5, "Mappet RA"), (6, "sorn town"), (7, "Sorn"), (8, "Sorn"), (9, "xxyyzz"), (9, "xxyyzz")], "id long, city string")
+    one = sorted(((r.key, r.value, r.entry, r.distance) for r in map_to_list(rows, ref).collect()), key=str)
+    assert len(one) == 11 and {k: e for k, _, e, _ in one}.items() >= {4: 2, 5: 2, 6: 4, 9: None}.items()
+    for block in (1, 2, 3, 4):
+        assert sorted(((r.key, r.value, r.entry, r.distance) for r in map_to_list(rows, ref, block=block).collect()), key=str) == one, block
