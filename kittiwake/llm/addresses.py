@@ -3,7 +3,7 @@
 Addresses are linked from the top down: region (zipcode) and locality (city), then street, then house number, then unit.
 A missing locality inherits the candidate of the zipcode; streets are linked inside their city only, to the spelling that
 occurs most among those one deletion away on either side; a street type is needed only where one name carries several
-types. What stays ambiguous is said so and is in no pair.
+types, and where it is missing the zipcode tells it. What stays ambiguous is said so and is in no pair.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kittiwake.llm.gazetteer import Dictionary, bare
@@ -131,11 +131,34 @@ def link_streets(named: DataFrame, shortest: int = 4, jumps: int = 3) -> DataFra
     return link
 
 
+#: A type of a street name seen so often is no slip of the pen.
+_KIND_LEAST = 3
+
+
+def street_kinds(named: DataFrame, link: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(city, root) of the names that several streets share, and (city, root, zip, kind) where the zipcode has only one
+    of these streets.
+
+    The most frequent type of a name is a street, and any other that was written ``_KIND_LEAST`` times, stands in a zipcode
+    without other types of the name, or belongs to types that make up a fifth of the typed rows. Works on counts."""
+    written = named.where(F.col("kind").isNotNull()).groupBy("city", "name", "zip", "kind").agg(F.count("*").alias("n"))
+    kinds = written.join(link, ["city", "name"]).groupBy("city", "root", "zip", "kind").agg(F.sum("n").alias("n"))
+    at = Window.partitionBy("city", "root", "zip")
+    kinds = cut(kinds.withColumn("alone", F.col("zip").isNotNull() & (F.min("kind").over(at) == F.max("kind").over(at))))
+    each = kinds.groupBy("city", "root", "kind").agg(F.sum("n").alias("n"), F.max("alone").alias("alone"))
+    name = Window.partitionBy("city", "root")
+    each = each.withColumn("top", F.max(F.struct("n", "kind")).over(name)).withColumn("all", F.sum("n").over(name))
+    each = each.where((F.col("kind") == F.col("top.kind")) | (F.col("n") >= _KIND_LEAST) | F.col("alone") | (F.col("all") - F.col("top.n") >= 0.2 * F.col("all")))
+    each = cut(each.withColumn("streets", F.count("*").over(name)).where(F.col("streets") > 1).select("city", "root", "kind"))
+    told = kinds.where(F.col("zip").isNotNull()).join(each, ["city", "root", "kind"]).groupBy("city", "root", "zip").agg(F.min("kind").alias("told"), F.max("kind").alias("last"))
+    return each.select("city", "root").distinct(), told.where(F.col("told") == F.col("last")).drop("last")
+
+
 def link_addresses(users: DataFrame, cities: DataFrame, *, id_column: str = "id", street: str = "street", city: str = "city", zipcode: str = "zipcode", city_id: str = "city_id", city_name: str = "city_name", other_name: str = "alt_name", code: str = "admin_code", max_cities: int = 100_000) -> DataFrame:
     """(id, zip, city, street, number, unit, ambiguous) for every row with an id.
 
     city is an entry of ``cities`` or null; street is the linked name, with its type where one name of the city has
-    several; ``ambiguous`` is true where such a type is missing. Null, empty or unreadable parts are null; very long
+    several; ``ambiguous`` is true where such a type is missing and the zipcode does not tell it. Null, empty or unreadable parts are null; very long
     texts are parsed whole; repeated rows are kept; empty tables give no rows.
 
     Broadcast: the dictionary of ``cities``, refused beyond ``max_cities``, the city of each zipcode of five digits, at most
@@ -158,10 +181,9 @@ def link_addresses(users: DataFrame, cities: DataFrame, *, id_column: str = "id"
     placed = placed.withColumn("city", F.coalesce("city", "told", "near")).drop("told", "near", "region")
     named = placed.where(F.col("city").isNotNull() & F.col("name").isNotNull())
     link = link_streets(named)
-    kinds = named.where(F.col("kind").isNotNull()).groupBy("city", "name", "kind").agg(F.count("*").alias("n")).join(link, ["city", "name"]).groupBy("city", "root", "kind").agg(F.sum("n").alias("n"))
-    several = kinds.groupBy("city", "root").agg(F.sum("n").alias("all"), F.max("n").alias("most")).select("city", "root", (F.col("all") - F.col("most") >= 0.2 * F.col("all")).alias("several"))
-    spelled = cut(link.join(several, ["city", "root"], "left").select("city", "name", "root", F.coalesce("several", F.lit(False)).alias("several")))
-    full = placed.join(spelled, ["city", "name"], "left")
+    several, told = street_kinds(named, link)
+    spelled = cut(link.join(several.withColumn("several", F.lit(True)), ["city", "root"], "left").select("city", "name", "root", F.coalesce("several", F.lit(False)).alias("several")))
+    full = placed.join(spelled, ["city", "name"], "left").join(told, ["city", "root", "zip"], "left").withColumn("kind", F.coalesce("kind", "told"))
     lacks = F.coalesce(F.col("several"), F.lit(False)) & F.col("kind").isNull()
     road = F.when(F.col("several"), F.concat_ws(" ", "root", "kind")).otherwise(F.col("root"))
     return full.select("id", "zip", "city", road.alias("street"), "number", "unit", lacks.alias("ambiguous"))

@@ -43,6 +43,21 @@ def test_levels_stay_explicit(spark):
     assert not {tuple(r) for r in same_building(kinds, ref).collect()}
 
 
+def test_a_street_with_a_rare_namesake(spark):
+    _, ref, _ = same(spark)
+    rows = [(k, f"{k % 300} Oak Road", "Gerdrioth", "10001") for k in range(900)] + [(1000 + k, f"{k} Oak Lane", "Gerdrioth", "10002") for k in range(100)]
+    rows += [(2000, "7 Oak", "Gerdrioth", "10001"), (2001, "7 Oak", "Gerdrioth", "10002"), (2002, "7 Oak", "Gerdrioth", "10003"), (2003, "8 Oak", "Gerdrioth", None)]
+    # one row with a type in a zipcode of its own, and one slip of the pen
+    rows += [(3000, "9 Oak Court", "Gerdrioth", "10009"), *((4000 + k, f"{k} Elm Road", "Gerdrioth", "10001") for k in range(20)), (4100, "5 Elm Lane", "Gerdrioth", "10001"), (4101, "5 Elm", "Gerdrioth", "10001")]
+    df = spark.createDataFrame([(*r, 1, "", "") for r in rows], USER)
+    got = {r.id: r for r in link_addresses(df, ref).collect()}
+    assert len(got) == len(rows)
+    assert [got[k].street for k in (7, 1007, 2000, 2001, 3000, 4005, 4100, 4101)] == ["oak road", "oak lane", "oak road", "oak lane", "oak court", "elm", "elm", "elm"]
+    assert [k for k in got if got[k].ambiguous] == [2002, 2003]
+    pairs = {tuple(r) for r in same_building(df, ref).collect()}
+    assert {(7, 2000), (7, 307), (1007, 2001), (4005, 4100)} <= pairs and not {(7, 1007), (9, 3000), (7, 2002)} & pairs
+
+
 def test_region_of_an_unseen_zipcode(spark):
     rows = [(1, "1 Plenno Square", "Gerdrioth", "10001"), (2, "1 Plenno Square", None, "10077"), (3, "1 Plenno Square", "Harnplon", "10202"), (4, "1 Plenno Square", "Gerdrioth", "10303"), (5, "1 Plenno Square", "Harnplon", "10304"), (6, "1 Plenno Square", "xxx", "10305")]
     _, ref, _ = same(spark)
