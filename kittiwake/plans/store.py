@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kittiwake.functions import bits, coerce, strings
@@ -334,9 +334,10 @@ _EVENT_VERSIONS = "SELECT event_id, user_id, event_id AS ins, coalesce(lead(even
 
 @query("q_snapshot_asof", f"SELECT user_id, event_id FROM ({_EVENT_VERSIONS}) WHERE ins <= 5000 AND del > 5000")
 def q_snapshot_asof(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where(F.col("event_id") <= 5000)
-    newest = e.groupBy("user_id").agg(F.max("event_id").alias("event_id")).withColumns({"__ins_ver": F.col("event_id"), "__del_ver": F.lit(versions.NEVER)})
-    return versions.as_of(newest, 5000).select("user_id", "event_id")
+    # an event is deleted by the next one of its user
+    replaced = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    e = table(spark, d, "events").select("user_id", "event_id", F.col("event_id").alias("__ins_ver"), replaced.alias("__del_ver"))
+    return versions.as_of(e, 5000).select("user_id", "event_id")
 
 
 @query("q_merge_segments", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'F'")

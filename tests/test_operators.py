@@ -191,3 +191,16 @@ def test_strings(spark):
     short = [one(spark, lambda c: strings.signed_key(c, 32), v, "int") for v in (-(2**31), -1, 0, 9)]
     assert short == sorted(short) and one(spark, lambda c: strings.signed_from_key(c, 32), short[1], "string") == -1
     assert [bytes(one(spark, strings.successor, b, "binary") or b"") for b in (b"ab", b"a\xff", b"\xff")] == [b"ac", b"b", b""]
+
+
+def test_snapshot_query_tests_all_versions(spark, tmp_path, monkeypatch):
+    from kittiwake.plans import store
+
+    events = [(k, k % 7) for k in range(1, 100)] + [(k, k % 7) for k in range(4990, 5020)] + [(9000, 8), (3, None), (4, None)]
+    spark.createDataFrame(events, "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    asked, as_of = [], store.versions.as_of
+    monkeypatch.setattr(store.versions, "as_of", lambda rows, version: asked.append(rows) or as_of(rows, version))
+    got = {tuple(r) for r in store.q_snapshot_asof(spark, str(tmp_path)).collect()}
+    assert got == {(u, max(e for e, v in events if v == u and e <= 5000)) for _, u in events if u != 8}
+    seen = asked[0].collect()
+    assert len(seen) == len(events) and sum(r["__del_ver"] is not None for r in seen) == len(events) - 9
