@@ -103,32 +103,65 @@ def _parse(shared):
     return run
 
 
-#: Street names beyond this length are linked to their own spelling only.
+#: Spellings beyond this length are met by a hash of 127 bits each, which takes time linear in the length of the name.
 LONGEST_NAME = 60
+_PRIME, _BASE = 2**127 - 1, 0x1F3D5B79A2C4E68013579BDF02468ACF
 
 
 def _deletions(word: Column, shortest: int) -> Column:
-    """The word, and with one letter left out if it has ``shortest`` to LONGEST_NAME letters."""
+    """The word, and with one letter left out if it has ``shortest`` letters."""
     out = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-    return F.when(F.length(word).between(shortest, LONGEST_NAME), F.array_distinct(F.concat(F.array(word), out))).otherwise(F.array(word))
+    return F.when(F.length(word) >= shortest, F.array_distinct(F.concat(F.array(word), out))).otherwise(F.array(word))
 
 
-def link_streets(named: DataFrame, shortest: int = 4, jumps: int = 3) -> DataFrame:
+def long_deletions(word: str) -> list[str]:
+    """A word of over LONGEST_NAME letters, and with one letter left out: a hash for each that is still that long."""
+    n, head, power = len(word), [0], [1]
+    for c in word:
+        head.append((head[-1] * _BASE + ord(c) + 1) % _PRIME)
+        power.append(power[-1] * _BASE % _PRIME)
+    found = {f"#{head[n]:x}"}
+    if n == LONGEST_NAME + 1:
+        return [*found, *{word[:i] + word[i + 1 :] for i in range(n)}]
+    # of what comes before a letter, and what comes after it
+    return [*found, *{f"#{(head[i] * power[n - 1 - i] + head[n] - head[i + 1] * power[n - 1 - i]) % _PRIME:x}" for i in range(n)} - found]
+
+
+def _with_deletions(rows: DataFrame, column: str, shortest: int) -> DataFrame:
+    """The rows once for every deletion of ``column``, named left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, word in enumerate(b.column(column).to_pylist()):
+                left = long_deletions(word)
+                for at in range(0, len(left), 10_000):
+                    part = left[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([*b.take(pa.array([k] * len(part))).columns, pa.array(part, pa.string())], names=[*b.schema.names, "left"])
+
+    long = F.length(column) > LONGEST_NAME
+    short = rows.where(~long).withColumn("left", F.explode(_deletions(F.col(column), shortest)))
+    return short.unionAll(rows.where(long).mapInArrow(run, short.schema))
+
+
+def link_streets(named: DataFrame, shortest: int = 4) -> DataFrame:
     """(city, name, root) for every street name of a city: the spelling that occurs most among those that share one
-    deletion, also without a street type grown onto the end; followed ``jumps`` times by doubling.
+    deletion, also without a street type grown onto the end; followed to its end by doubling.
 
     Works on distinct names with their counts; the join meets one row a city and deletion."""
-    names = named.groupBy("city", "name").agg(F.count("*").alias("n"))
-    top = names.select("city", "name", "n", F.explode(_deletions(F.col("name"), shortest)).alias("left")).groupBy("city", "left").agg(F.max(F.struct("n", "name")).alias("top"))
+    names = cut(named.groupBy("city", "name").agg(F.count("*").alias("n")))
+    top = _with_deletions(names, "name", shortest).groupBy("city", "left").agg(F.max(F.struct("n", "name")).alias("top"))
     cut_off = F.regexp_replace("name", _ATTACHED, "")
     readings = F.when(F.length(cut_off) >= shortest, F.array_distinct(F.array(F.col("name"), cut_off))).otherwise(F.array("name"))
-    asked = names.select("city", "name", F.explode(readings).alias("r")).select("city", "name", F.explode(_deletions(F.col("r"), shortest)).alias("left"))
-    link = asked.join(top, ["city", "left"]).groupBy("city", "name").agg(F.max("top").alias("t")).select("city", "name", F.col("t.name").alias("root"))
-    link = cut(link)
-    for _ in range(jumps):
+    asked = _with_deletions(names.select("city", "name", F.explode(readings).alias("r")), "r", shortest)
+    link = cut(asked.join(top, ["city", "left"]).groupBy("city", "name").agg(F.max("top").alias("t")).select("city", "name", F.col("t.name").alias("root")))
+    while True:
+        # every link leads to a greater (count, name), as a name is among its own candidates, so there is no circle
         further = link.select("city", F.col("name").alias("root"), F.col("root").alias("next"))
-        link = link.join(further, ["city", "root"], "left").select("city", "name", F.coalesce("next", "root").alias("root"))
-    return link
+        link = cut(link.join(further, ["city", "root"], "left").select("city", "name", F.coalesce("next", "root").alias("next"), (F.col("next") != F.col("root")).alias("moved")))
+        moved = link.where("moved").limit(1).count()
+        link = link.select("city", "name", F.col("next").alias("root"))
+        if not moved:
+            return link
 
 
 #: A type of a street name seen so often is no slip of the pen.

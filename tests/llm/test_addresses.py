@@ -1,6 +1,6 @@
 from itertools import combinations
 
-from kittiwake.llm.addresses import link_addresses, parse_street, parse_zip, same_building
+from kittiwake.llm.addresses import link_addresses, link_streets, parse_street, parse_zip, same_building
 
 USER = "id long, street string, city string, zipcode string, n int, root string, told string"
 REF = "city_id long, city_name string, alt_name string, admin_code string"
@@ -58,6 +58,25 @@ def test_a_street_with_a_rare_namesake(spark):
     assert {(7, 2000), (7, 307), (1007, 2001), (4005, 4100)} <= pairs and not {(7, 1007), (9, 3000), (7, 2002)} & pairs
 
 
+def test_long_names_and_long_chains(spark):
+    letters = "abcdefghij"
+    rows = []
+    for size in (59, 60, 61, 62, 63, 200, 3000):
+        word = "".join(letters[(k * k + k // 7 + size) % 10] for k in range(size))
+        at = size // 3
+        rows += [(size, word)] * 9 + [(size, word[:at] + word[at + 1 :]), (size, word[:at] + "z" + word[at:]), (size, word[:5] + word[6:-3] + "z" + word[-3:]), (size, word[:at] + "zz" + word[at + 2 :])]
+    # each spelling is one deletion from the next only, which occurs more often
+    chain = ["q" * k + "w" * (40 - k) for k in range(0, 40, 1)]
+    rows += [(1, name) for k, name in enumerate(chain) for _ in range(k + 1)]
+    got = {(r.city, r.name): r.root for r in link_streets(spark.createDataFrame(rows, "city long, name string")).collect()}
+    assert {got[1, c] for c in chain} == {chain[-1]}
+    for size in (59, 60, 61, 62, 63, 200, 3000):
+        word = next(w for c, w in rows if c == size)
+        far = word[: size // 3] + "zz" + word[size // 3 + 2 :]
+        roots = {w: r for (c, w), r in got.items() if c == size}
+        assert roots.pop(far) == far and len(roots) == 4 and set(roots.values()) == {word}, size
+
+
 def test_region_of_an_unseen_zipcode(spark):
     rows = [(1, "1 Plenno Square", "Gerdrioth", "10001"), (2, "1 Plenno Square", None, "10077"), (3, "1 Plenno Square", "Harnplon", "10202"), (4, "1 Plenno Square", "Gerdrioth", "10303"), (5, "1 Plenno Square", "Harnplon", "10304"), (6, "1 Plenno Square", "xxx", "10305")]
     _, ref, _ = same(spark)
