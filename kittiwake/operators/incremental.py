@@ -8,19 +8,19 @@ output visible. A run that fails or is killed commits nothing, so its gaps are p
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from bisect import bisect_right
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kittiwake.sources.files import Files
+
 
 class Intervals:
     """Disjoint, sorted closed intervals of integers; neighbours are merged. Immutable."""
@@ -155,20 +155,20 @@ def new_versions_by_run(feed: DataFrame, runs: DataFrame, *, seq: str, key: str,
 
 
 class Ledger:
-    """Processed intervals and outputs of a sync job in one folder.
+    """Processed intervals and outputs of a sync job in one folder of a shared file system.
 
-    ``state.json`` names the committed intervals and output folders and is replaced by one atomic rename, so that
-    intervals and output become visible together. Output of an unfinished run is never named and so never read. A
-    concurrent commit is noticed by the version number and refused.
+    Every commit is a file ``state-<version>.json`` that names all intervals and output folders and is created once and
+    whole, so that intervals and output become visible together and of two runs on one version the later always fails.
+    Output of an unfinished run is never named and so never read.
     """
 
-    def __init__(self, folder: str):
-        self.folder = Path(folder)
-        self.folder.mkdir(parents=True, exist_ok=True)
+    def __init__(self, folder: str, spark: SparkSession | None = None):
+        self.files = Files(spark or SparkSession.active(), folder)
+        self.files.make()
 
     def state(self) -> dict:
-        at = self.folder / "state.json"
-        return json.loads(at.read_text()) if at.exists() else {"version": 0, "done": [], "outputs": []}
+        found = max((n for n in self.files.list() if n.startswith("state-")), default=None)
+        return json.loads(self.files.read(found)) if found else {"version": 0, "done": [], "outputs": []}
 
     def done(self) -> Intervals:
         return Intervals(self.state()["done"])
@@ -176,30 +176,27 @@ class Ledger:
     def run(self, feed: DataFrame, seq: str, available: Intervals, process: Callable[[DataFrame], DataFrame] = lambda new: new) -> Intervals:
         """Process the rows whose ``seq`` lies in ``available`` and was not processed; returns the gaps committed.
 
-        Nothing is written if there is no gap. An exception leaves the ledger as it was.
+        Nothing is written if there is no gap. An exception leaves the ledger as it was; if another run committed in the
+        meantime, this one raises RuntimeError and has changed nothing.
         """
         state = self.state()
         gap = available - Intervals(state["done"])
         if not gap:
             return gap
         out = f"run-{state['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
-        process(feed.where(gap.covers(feed[seq]))).write.parquet(str(self.folder / out))
+        process(feed.where(gap.covers(feed[seq]))).write.parquet(self.files.path(out))
         self._commit(state, (Intervals(state["done"]) | gap), out)
         return gap
 
     def _commit(self, state: dict, done: Intervals, out: str) -> None:
-        lock = self.folder / f"commit-{state['version'] + 1}"
+        new = {"version": state["version"] + 1, "done": list(done.pairs), "outputs": [*state["outputs"], out]}
         try:
-            os.close(os.open(lock, os.O_CREAT | os.O_EXCL))
+            self.files.publish(f"state-{new['version']:010d}.json", json.dumps(new))
         except FileExistsError:
-            if self.state()["version"] != state["version"]:
-                raise RuntimeError("another run committed first; run again") from None
-        new = {"version": state["version"] + 1, "done": list(done.pairs), "outputs": [*state["outputs"], out]}
-        part = self.folder / f".state-{uuid.uuid4().hex}"
-        part.write_text(json.dumps(new))
-        os.replace(part, self.folder / "state.json")
+            self.files.remove(out)
+            raise RuntimeError("another run committed first; run again") from None
 
-    def output(self, spark) -> DataFrame | None:
+    def output(self, spark: SparkSession) -> DataFrame | None:
         """Rows of all committed runs, or None if there is none."""
-        outs = [str(self.folder / o) for o in self.state()["outputs"]]
+        outs = [self.files.path(o) for o in self.state()["outputs"]]
         return spark.read.parquet(*outs) if outs else None

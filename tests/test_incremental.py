@@ -1,10 +1,12 @@
 import random
+import threading
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
 from kittiwake.operators.incremental import Gap, Intervals, Ledger, gaps_of_runs, label_by_gap, new_versions_by_run
+from kittiwake.sources.files import Files
 
 pairs = st.lists(st.tuples(st.integers(0, 60), st.integers(0, 12)).map(lambda p: (p[0], p[0] + p[1])), max_size=8)
 
@@ -91,3 +93,35 @@ def test_two_writers_cannot_both_commit(spark, tmp_path):
     with pytest.raises(RuntimeError, match="another run"):
         ledger.run(feed, "seq", Intervals([(1, 1)]), meanwhile)
     assert ledger.output(spark).count() == 1
+
+
+def test_races_lose_no_commit(spark, tmp_path):
+    first, second = (Ledger(str(tmp_path / "job"), spark) for _ in range(2))
+    old = first.state()
+    results = []
+
+    def commit(ledger, lo, name):
+        try:
+            ledger._commit(old, Intervals([(lo, lo + 9)]), name)
+            results.append((lo, name))
+        except RuntimeError:
+            pass
+
+    runs = [threading.Thread(target=commit, args=(x, lo, n)) for x, lo, n in ((first, 1, "run-a"), (second, 11, "run-b"))]
+    for t in runs:
+        t.start()
+    for t in runs:
+        t.join()
+    # exactly one of two commits to one version succeeds, and the state is what that one wrote
+    assert len(results) == 1 and first.state()["outputs"] == [results[0][1]] and first.done() == Intervals([(results[0][0], results[0][0] + 9)])
+
+
+def test_names_are_taken_once_on_any_file_system(spark, tmp_path):
+    files = Files(spark, str(tmp_path))
+    for local in (True, False):
+        files.local = local
+        files.publish(f"a-{local}", "one")
+        with pytest.raises(FileExistsError):
+            files.publish(f"a-{local}", "two")
+        assert files.read(f"a-{local}") == "one"
+    assert set(files.list()) == {"a-True", "a-False"}
