@@ -45,35 +45,48 @@ def crc32c(data: pd.Series) -> pd.Series:
     return full
 
 
-def _varint(n: int) -> bytes:
-    out = bytearray()
-    while n >= 0x80:
-        out.append(n & 0x7F | 0x80)
-        n >>= 7
-    return bytes([*out, n])
+def _placed(known: np.ndarray, parts: list) -> pd.Series:
+    """The parts at the known places, None at the others."""
+    out = np.full(len(known), None, object)
+    for k, part in zip(np.nonzero(known)[0], parts):
+        out[k] = part
+    return pd.Series(out)
 
 
 @F.pandas_udf(T.BinaryType())
 def varint_encode(values: pd.Series) -> pd.Series:
-    """Arrays of integers of at least 0 as 7-bit groups, the low one first."""
-    return values.map(lambda v: None if v is None else b"".join(_varint(int(n)) for n in v))
+    """Arrays of integers of at least 0 as 7-bit groups, the low one first; all numbers of a batch are coded together."""
+    known = values.notna().to_numpy()
+    arrays = [np.asarray(v, np.uint64) for v in values[known]]
+    size = np.array([len(a) for a in arrays], np.int64)
+    n = np.concatenate(arrays) if len(arrays) else np.zeros(0, np.uint64)
+    groups = np.stack([(n >> np.uint64(7 * k)) & np.uint64(0x7F) for k in range(10)], axis=1).astype(np.uint8)
+    width = np.maximum(1, 10 - np.argmax(groups[:, ::-1] > 0, axis=1)) * (n > 0) + (n == 0)
+    at = np.arange(10)
+    groups[at[None, :] < width[:, None] - 1] |= 0x80
+    flat = groups[at[None, :] < width[:, None]].tobytes()
+    ends = np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], np.cumsum(size)])]
+    return _placed(known, [flat[a:b] for a, b in zip(ends, ends[1:])])
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def varint_decode(data: pd.Series) -> pd.Series:
-    def one(b):
-        if b is None:
-            return None
-        out, n, shift = [], 0, 0
-        for x in bytes(b):
-            n |= (x & 0x7F) << shift
-            shift += 7
-            if x < 0x80:
-                out.append(n)
-                n = shift = 0
-        return out
-
-    return data.map(one)
+    """The arrays of such bytes; what follows the last whole number is left out."""
+    known = data.notna().to_numpy()
+    raw = [bytes(b) for b in data[known]]
+    byte = np.frombuffer(b"".join(raw), np.uint8)
+    row = np.repeat(np.arange(len(raw)), [len(b) for b in raw])
+    last = byte < 0x80
+    # numbers end at such a byte, and at the end of their row
+    start = np.concatenate([[True], last[:-1] | (row[1:] != row[:-1])]) if len(byte) else np.zeros(0, bool)
+    number = np.cumsum(start) - 1
+    begin = np.nonzero(start)[0]
+    shift = 7 * (np.arange(len(byte)) - begin[number]) if len(byte) else np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        n = np.bitwise_or.reduceat((byte & 0x7F).astype(np.uint64) << shift.astype(np.uint64), begin).view(np.int64) if len(begin) else np.zeros(0, np.int64)
+    whole = last[np.concatenate([begin[1:], [len(byte)]]) - 1] if len(begin) else np.zeros(0, bool)
+    per_row = np.bincount(row[begin][whole], minlength=len(raw)) if len(begin) else np.zeros(len(raw), np.int64)
+    return _placed(known, np.split(n[whole], np.cumsum(per_row)[:-1]) if len(raw) else [])
 
 
 def deltas(values: Column) -> Column:
@@ -83,7 +96,21 @@ def deltas(values: Column) -> Column:
 
 def undeltas(values: Column) -> Column:
     """The array whose differences these are."""
-    return F.transform(values, lambda _, k: F.aggregate(F.slice(values, F.lit(1), k + 1), F.lit(0).cast("long"), lambda a, v: a + v))
+    return _running_sums(values)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _running_sums(values: pd.Series) -> pd.Series:
+    """All arrays of a batch summed at once, each from its own start."""
+    known = values.notna().to_numpy()
+    arrays = [np.asarray(v, np.int64) for v in values[known]]
+    size = np.array([len(a) for a in arrays], np.int64)
+    with np.errstate(over="ignore"):
+        total = np.cumsum(np.concatenate(arrays)) if len(arrays) else np.zeros(0, np.int64)
+        ends = np.cumsum(size)
+        before = np.concatenate([[0], total])[ends - size]
+        total = total - np.repeat(before, size)
+    return _placed(known, np.split(total, ends[:-1]) if len(arrays) else [])
 
 
 def with_rank(rows: DataFrame, order: list[Column], bit: Column, name: str = "rank1") -> DataFrame:

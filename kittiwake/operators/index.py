@@ -61,6 +61,17 @@ def key_exists(rows: DataFrame, keys: Sequence[str], values: Sequence) -> bool:
     return bool(exact(rows, keys, values).limit(1).count())
 
 
+def keys_exist(rows: DataFrame, keys: Sequence[str], asked: DataFrame, name: str = "found") -> DataFrame:
+    """The rows of ``asked``, which has the key columns, and whether their key is in the index; null keys never are."""
+    known = rows.select(*keys).distinct().withColumn("__hit", F.lit(True))
+    return asked.join(known, list(keys), "left").select(*[asked[c] for c in asked.columns], F.coalesce("__hit", F.lit(False)).alias(name))
+
+
+def key_counts(rows: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
+    """Every key of an index that need not be unique, with the number of its rows."""
+    return rows.groupBy(*keys).agg(F.count("*").alias(name))
+
+
 def ordered(rows: DataFrame, keys: Sequence[str], rid: str, descending: bool = False) -> DataFrame:
     """Rows in index order, ties by record id in the same direction."""
     return rows.orderBy(*[F.col(c).desc() if descending else F.col(c).asc() for c in (*keys, rid)])
@@ -89,11 +100,19 @@ def between(rows: DataFrame, keys: Sequence[str], low: Sequence = (), high: Sequ
     return rows.where(key_beyond(keys, low, above=True, inclusive=low_inclusive) & key_beyond(keys, high, above=False, inclusive=high_inclusive))
 
 
+#: Longer keys are compared letter by letter instead of by a branch of the plan for each.
+_BRANCHES = 200
+
+
 def longest_prefix(rows: DataFrame, column: str, key: str, rid: str) -> DataFrame:
     """The row that shares the longest prefix with ``key``, then the least key, then the least id, with ``matched``: the
     length shared. An empty table gives no row; a null key column shares nothing and is left out."""
-    n = common_prefix_length(F.col(column), F.lit(key))
-    return rows.where(F.col(column).isNotNull()).withColumn("matched", n).orderBy(F.col("matched").desc(), F.col(column).asc(), F.col(rid).asc()).limit(1)
+    own = rows.where(F.col(column).isNotNull())
+    # whether it starts with the key, the key but its last letter, and so on
+    length = F.coalesce(*[F.when(F.col(column).startswith(key[:k]), F.lit(k)) for k in range(len(key), 0, -1)], F.lit(0))
+    if len(key) > _BRANCHES:
+        length = common_prefix_length(F.col(column), F.lit(key))
+    return own.withColumn("matched", length).orderBy(F.col("matched").desc(), F.col(column).asc(), F.col(rid).asc()).limit(1)
 
 
 _ENGINES: dict[str, Callable[[str, str], str]] = {}

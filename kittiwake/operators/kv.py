@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kittiwake.schema import REST, TableDef
 from kittiwake.sources.store import Store
 
 KV_SCHEMA = T.StructType([T.StructField("key", T.BinaryType(), False), T.StructField("val", T.BinaryType(), False)])
@@ -77,9 +78,15 @@ class KeyValue:
             raise ValueError("a snapshot cannot be written")
         if not batch:
             return
-        f = self._frame(batch)
-        last = f.groupBy("key").agg(F.max_by(F.struct("val", "op"), "seq").alias("r")).select("key", "r.*")
-        self.store.transact(last.where(F.col("op") == "put").select("key", "val"), last.select("key"))
+        self.load(self._frame(batch))
+
+    def load(self, batch: DataFrame) -> None:
+        """A table of operations (key, val, op, seq) in one commit, op being put or delete; the last by seq on a key counts."""
+        if self.version is not None:
+            raise ValueError("a snapshot cannot be written")
+        last = batch.groupBy("key").agg(F.max_by(F.struct("val", "op"), "seq").alias("r")).select("key", "r.*")
+        # every key of the batch is deleted first and comes once
+        self.store.transact(last.where(F.col("op") == "put").select("key", "val"), last.select("key"), check=False)
 
     def get(self, key: bytes) -> bytes:
         found = self.rows().where(F.col("key") == F.lit(key)).select("val").limit(1).collect()
@@ -175,6 +182,11 @@ class Families:
     def family(self, name: str = "default") -> KeyValue:
         return KeyValue.open(self.spark, f"{self.folder}/{name}")
 
+    @staticmethod
+    def declared(definition: TableDef) -> list[str]:
+        """Names of the families that a table definition declares as column groups."""
+        return [g.name for g in definition.groups if g.name not in {i.name for i in definition.indexes} | {REST}]
+
     def list(self) -> list[str]:
         from kittiwake.sources.store import Catalog
 

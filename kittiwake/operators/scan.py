@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,9 +86,9 @@ def project(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*out)
 
 
-def project_group(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
-    """One struct column that holds a column group."""
-    return rows.select(F.struct(*columns).alias(name))
+def project_group(rows: DataFrame, name: str, columns: list[str], beside: Sequence[str] = ()) -> DataFrame:
+    """One struct column that holds a column group, after the columns of ``beside``."""
+    return rows.select(*beside, F.struct(*columns).alias(name))
 
 
 def many_cursors(rows: DataFrame, n: int, rid: str) -> list[DataFrame]:

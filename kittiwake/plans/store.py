@@ -6,7 +6,6 @@ The tables have no record ids or deletion marks of their own: the unique key sta
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,8 +14,9 @@ from pyspark.sql import functions as F
 from kittiwake.functions import bits, coerce, strings
 from kittiwake.operators import index, kv, mutate, pipeline, scan, versions
 from kittiwake.runtime import shared_dir
+from kittiwake.schema import load
 from kittiwake.sources import delimited, documents
-from kittiwake.sources.store import Store
+from kittiwake.sources.store import Catalog, Store
 from kittiwake.sources.tables import table
 
 QUERIES: dict = {}
@@ -42,14 +42,14 @@ def _gone() -> Column:
 
 @query("q_scan_forward", "SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders WHERE o_orderstatus <> 'F'")
 def q_scan_forward(spark: SparkSession, d: str) -> DataFrame:
-    live = scan.live(table(spark, d, "orders"), _gone()).select("o_orderkey", "o_custkey", "o_totalprice")
-    return scan.numbered(live, [F.col("o_orderkey").asc()])
+    rows = scan.forward(table(spark, d, "orders"), "o_orderkey", _gone()).select("o_orderkey", "o_custkey", "o_totalprice")
+    return scan.numbered(rows, [F.col("o_orderkey").asc()])
 
 
 @query("q_scan_backward", "SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS pos FROM orders WHERE o_orderstatus <> 'F'")
 def q_scan_backward(spark: SparkSession, d: str) -> DataFrame:
-    live = scan.live(table(spark, d, "orders"), _gone()).select("o_orderkey", "o_custkey", "o_totalprice")
-    return scan.numbered(live, [F.col("o_orderkey").desc()])
+    rows = scan.backward(table(spark, d, "orders"), "o_orderkey", _gone()).select("o_orderkey", "o_custkey", "o_totalprice")
+    return scan.numbered(rows, [F.col("o_orderkey").desc()])
 
 
 @query("q_scan_seek_exact", "SELECT * FROM orders WHERE o_orderkey = 77 AND o_orderstatus <> 'F'")
@@ -69,12 +69,25 @@ def q_scan_resume(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_get_row", "SELECT * FROM customer WHERE c_custkey = 42")
 def q_get_row(spark: SparkSession, d: str) -> DataFrame:
-    return scan.seek_exact(table(spark, d, "customer"), "c_custkey", 42)
+    customers = table(spark, d, "customer")
+    return spark.createDataFrame([scan.get(customers, "c_custkey", 42)], customers.schema)
 
 
 @query("q_exists", "SELECT count(*) > 0 AS found FROM customer WHERE c_custkey = 42")
 def q_exists(spark: SparkSession, d: str) -> DataFrame:
-    return scan.seek_exact(table(spark, d, "customer"), "c_custkey", 42).agg((F.count("*") > 0).alias("found"))
+    return spark.createDataFrame([(scan.exists(table(spark, d, "customer"), "c_custkey", 42),)], "found boolean")
+
+
+@query("q_is_empty", "SELECT (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F') = 0 AS live_empty, (SELECT count(*) FROM orders WHERE o_orderkey < 0) = 0 AS none")
+def q_is_empty(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    return spark.createDataFrame([(scan.is_empty(orders, _gone()), scan.is_empty(orders.where("o_orderkey < 0")))], "live_empty boolean, none boolean")
+
+
+@query("q_many_cursors", "SELECT event_id, value FROM events")
+def q_many_cursors(spark: SparkSession, d: str) -> DataFrame:
+    parts = scan.many_cursors(table(spark, d, "events").select("event_id", "value"), 3, "event_id")
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
 @query("q_row_counts", "SELECT count(*) AS physical, count(*) FILTER (o_orderstatus <> 'F') AS live FROM orders")
@@ -82,16 +95,23 @@ def q_row_counts(spark: SparkSession, d: str) -> DataFrame:
     return scan.counts(table(spark, d, "orders"), _gone())
 
 
-@query("q_storage_stats")
+@query("q_storage_stats", "SELECT count(*) AS physical, count(*) FILTER (o_orderstatus <> 'F') AS live, 2 AS segments, true AS has_bytes FROM orders")
 def q_storage_stats(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "orders").select("_metadata.file_path", "_metadata.file_size")
-    return files.groupBy("file_path").agg(F.count("*").alias("n_rows"), F.max("file_size").alias("n_bytes"))
+    store = _two_segments(spark, d)
+    store.delete(table(spark, d, "orders").where(_gone()).select("o_orderkey"))
+    n = store.counts()
+    return spark.createDataFrame([(n["physical"], n["live"], n["segments"], n["bytes"] > 0 and n["tombstone_bytes"] > 0)], "physical long, live long, segments int, has_bytes boolean")
 
 
-@query("q_segment_lookup", "SELECT o_orderkey, o_orderkey // 4096 AS seg, o_orderkey % 4096 AS sub FROM orders")
+@query("q_segment_lookup", """
+    WITH r AS (SELECT o_orderkey, o_custkey % 2 AS odd, row_number() OVER (ORDER BY o_custkey % 2, o_orderkey) - 1 AS rid FROM orders)
+    SELECT o_orderkey, rid, odd::INT AS seg FROM r""")
 def q_segment_lookup(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    return table(spark, d, "orders").select(k, F.floor(k / 4096).alias("seg"), (k % 4096).alias("sub"))
+    store = _two_segments(spark, d)
+    rows = store.read(ids=True).select("o_orderkey", F.col("__rid").alias("rid"))
+    # one row a segment
+    segments = F.broadcast(store.segments().select("first_rid", "last_rid", (F.dense_rank().over(Window.orderBy("first_rid")) - 1).alias("seg")))
+    return rows.join(segments, rows.rid.between(segments.first_rid, segments.last_rid)).select("o_orderkey", "rid", "seg")
 
 
 # projection
@@ -109,8 +129,8 @@ def q_select_one_column(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_select_colgroup", "SELECT p_partkey, struct_pack(p_brand := p_brand, p_type := p_type).p_brand AS brand, struct_pack(p_brand := p_brand, p_type := p_type).p_type AS type FROM part")
 def q_select_colgroup(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "part")
-    return parts.select("p_partkey", F.struct("p_brand", "p_type").alias("brand_type")).select("p_partkey", F.col("brand_type.p_brand").alias("brand"), F.col("brand_type.p_type").alias("type"))
+    group = scan.project_group(table(spark, d, "part"), "brand_type", ["p_brand", "p_type"], ["p_partkey"])
+    return group.select("p_partkey", F.col("brand_type.p_brand").alias("brand"), F.col("brand_type.p_type").alias("type"))
 
 
 @query("q_logical_ids", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS physical_id FROM orders WHERE o_orderstatus <> 'F'")
@@ -133,8 +153,8 @@ def q_index_exact_newest_first(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_key_exists", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS found FROM customer")
 def q_key_exists(spark: SparkSession, d: str) -> DataFrame:
-    keys = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.lit(True).alias("hit")).distinct()
-    return table(spark, d, "customer").select("c_custkey").join(keys, "c_custkey", "left").select("c_custkey", F.coalesce("hit", F.lit(False)).alias("found"))
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return index.keys_exist(orders, ["c_custkey"], table(spark, d, "customer").select("c_custkey"))
 
 
 @query("q_composite_exact", "SELECT p_partkey, p_brand, p_type FROM part WHERE p_brand = 'Brand#12' AND p_type = 'ECONOMY'")
@@ -213,7 +233,7 @@ def q_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_key_rank", "SELECT count(*) AS below FROM part WHERE p_name < 'red'")
 def q_key_rank(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").where(F.col("p_name") < "red").agg(F.count("*").alias("below"))
+    return spark.createDataFrame([(index.rank_of(table(spark, d, "part"), "p_name", "red"),)], "below long")
 
 
 @query("q_sorted_distinct", "SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) - 1 AS pos FROM (SELECT DISTINCT l_partkey FROM lineitem)")
@@ -360,34 +380,78 @@ def q_compact_ids(spark: SparkSession, d: str) -> DataFrame:
 # text, documents, coercions
 
 
-@query("q_tsv_parse", "SELECT n_nationkey, n_name, n_regionkey, 3 AS parsed FROM nation")
+_TWEET = '{"RowSchema": {"columns": {"_id": {"type": "int64"}, "int1": {"type": "int32"}, "date1": {"type": "int64"}, "nick": {"type": "strzero"}, "message": {"type": "strzero"}}}}'
+
+
+def _tweet_lines(spark: SparkSession, d: str) -> DataFrame:
+    clean = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[\\t\\r\\n]", " ").alias(c)
+    return table(spark, d, "tweets").where("int1 IS NOT NULL AND date1 IS NOT NULL").select("_id", "int1", "date1", clean("nick"), clean("message"))
+
+
+_TWEETS = r"SELECT _id, int1, date1, regexp_replace(coalesce(nick, ''), '[\t\r\n]', ' ', 'g') AS nick, regexp_replace(coalesce(message, ''), '[\t\r\n]', ' ', 'g') AS message FROM tweets WHERE int1 IS NOT NULL AND date1 IS NOT NULL"
+
+
+@query("q_tsv_parse", f"SELECT *, 5 AS parsed FROM ({_TWEETS})")
 def q_tsv_parse(spark: SparkSession, d: str) -> DataFrame:
-    from kittiwake.schema import load
+    return delimited.parse(delimited.to_lines(_tweet_lines(spark, d)), load(_TWEET))
+
 
-    definition = load('{"RowSchema": {"columns": {"n_nationkey": {"type": "int32"}, "n_name": {"type": "strzero"}, "n_regionkey": {"type": "int32"}}}}')
-    return delimited.parse(delimited.to_lines(table(spark, d, "nation")), definition)
+@query("q_tsv_import", f"SELECT * FROM ({_TWEETS}) WHERE _id NOT IN (SELECT _id FROM tweets WHERE int1 % 2 = 0)")
+def q_tsv_import(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "lines")
+    delimited.write_lines(_tweet_lines(spark, d), path, compression="gzip")
+    there = table(spark, d, "tweets").where("int1 % 2 = 0").select("_id")
+    return delimited.read_delimited(spark, path, load(_TWEET), skip_existing=there, key=["_id"])
 
 
-@query("q_json_export")
+@query("q_json_export", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
 def q_json_export(spark: SparkSession, d: str) -> DataFrame:
-    return delimited.to_json(table(spark, d, "orders"))
+    own = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    return delimited.to_json(own).select(F.from_json("json", own.schema).alias("r")).select("r.*")
+
 
+@query("q_dump", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 1000 ORDER BY o_orderkey LIMIT 500")
+def q_dump(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return delimited.dump(own, "o_orderkey", 1000, 500).select(F.from_json("json", own.schema).alias("r")).select("r.*")
 
-@query("q_json_round_trip", "SELECT r_regionkey, r_name FROM region")
+
+@query("q_json_round_trip", "SELECT event_id, user_id, value, event_type, props FROM events")
 def q_json_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "region")
-    return delimited.to_json(r).select(F.from_json("json", r.schema).alias("r")).select("r.*")
+    e = table(spark, d, "events").select("event_id", "user_id", "value", "event_type", "props")
+    return delimited.to_json(e).select(F.from_json("json", e.schema).alias("r")).select("r.*")
 
 
 @query("q_doc_encode", "SELECT event_id, coalesce((props->>'k')::INT, 0) AS k FROM events")
 def q_doc_encode(spark: SparkSession, d: str) -> DataFrame:
-    from kittiwake.schema import load
-
     definition = load('{"RowSchema": {"columns": {"event_id": {"type": "int64"}, "k": {"type": "int32"}, "$$": {"type": "carbin"}}}}')
     whole = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(", "), F.expr("substring(props, 2)"))
     return documents.encode(table(spark, d, "events").select(whole.alias("doc")), definition).select("event_id", "k")
 
 
+@query("q_doc_decode", "SELECT event_id, event_type, (props->>'k')::INT AS k FROM events")
+def q_doc_decode(spark: SparkSession, d: str) -> DataFrame:
+    definition = load('{"RowSchema": {"columns": {"event_id": {"type": "int64"}, "event_type": {"type": "strzero"}, "$$": {"type": "carbin"}}}}')
+    rows = table(spark, d, "events").select("event_id", "event_type", F.col("props").cast("binary").alias("$$"))
+    return documents.decode(rows, definition).select(F.from_json("doc", "event_id long, event_type string, k int").alias("r")).select("r.*")
+
+
+@query("q_doc_values", """
+    SELECT o_orderkey, (o_custkey % 2 = 0)::INT AS flag, epoch_ms(o_orderdate) AS at, o_custkey AS stamp, 255 AS most, -32768 AS least,
+           lower(hex(lpad(o_orderkey::VARCHAR, 12, '0'))) AS oid, 2 AS n, o_custkey AS item, o_orderstatus AS inner_status, true AS same FROM orders""")
+def q_doc_values(spark: SparkSession, d: str) -> DataFrame:
+    definition = load('{"RowSchema": {"columns": {"flag": {"type": "uint8"}, "at": {"type": "int64", "mongoType": "date"}, "stamp": {"type": "int64", "mongoType": "timestamp"}, "most": {"type": "uint8"}, "least": {"type": "int16"}, "oid": {"type": "fixed", "length": 12}, "$$": {"type": "carbin"}}}}')
+    o, oid = table(spark, d, "orders"), F.lower(F.hex(F.lpad(F.col("o_orderkey").cast("string"), 12, "0")))
+    form = '{"o_orderkey": %d, "flag": %s, "at": {"$date": %d}, "stamp": {"$timestamp": %d}, "most": {"$maxKey": 1}, "least": {"$minKey": 1}, "oid": {"$oid": "%s"}, "list": [%d, 1], "inner": {"s": "%s"}}'
+    ms = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    doc = F.format_string(form, "o_orderkey", (F.col("o_custkey") % 2 == 0).cast("string"), ms, "o_custkey", oid, "o_custkey", "o_orderstatus")
+    own = documents.encode(o.select("o_orderkey", doc.alias("doc")), definition, keep=["o_orderkey"])
+    rest = F.col("`$$`").cast("string")
+    a, inner = documents.array_of(rest, "list"), documents.object_of(rest, "inner")
+    item, inside = F.try_variant_get(a["items"][0], "$", "bigint"), F.try_variant_get(inner["s"], "$", "string")
+    return own.select("o_orderkey", F.col("flag").cast("int").alias("flag"), "at", "stamp", F.col("most").cast("int").alias("most"), F.col("least").cast("int").alias("least"), F.lower(F.hex("oid")).alias("oid"), a["n"].alias("n"), item.alias("item"), inside.alias("inner_status"), documents.same_fields(rest, rest).alias("same"))
+
+
 @query("q_doc_extra_fields", "SELECT event_id, props->>'k' AS extra_k FROM events")
 def q_doc_extra_fields(spark: SparkSession, d: str) -> DataFrame:
     rest = documents.undeclared(F.col("props"), ["event_id"])
@@ -404,6 +468,40 @@ def q_coerce_date_sec(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", coerce.seconds_of_date(F.col("o_orderdate")).alias("seconds"), coerce.millis_of_date(F.col("o_orderdate")).alias("millis"))
 
 
+@query("q_coerce_date_back", "SELECT o_orderkey, o_orderdate::TIMESTAMP AS from_seconds, o_orderdate::TIMESTAMP AS from_millis FROM orders")
+def q_coerce_date_back(spark: SparkSession, d: str) -> DataFrame:
+    at = F.col("o_orderdate")
+    return table(spark, d, "orders").select("o_orderkey", coerce.date_of_seconds(coerce.seconds_of_date(at)).alias("from_seconds"), coerce.date_of_millis(coerce.millis_of_date(at)).alias("from_millis"))
+
+
+@query("q_coerce_special", """
+    SELECT c_custkey, (c_acctbal < 0)::INT AS flag, -2147483648 AS least, 4294967295 AS greatest, hex(lpad(c_custkey::VARCHAR, 12, '0')) AS oid,
+           '01' || hex(c_name) AS packed, c_name AS pattern, 'i' AS options FROM customer""")
+def q_coerce_special(spark: SparkSession, d: str) -> DataFrame:
+    digits = F.lpad(F.col("c_custkey").cast("string"), 12, "0")
+    pair = coerce.regex_pair(F.col("c_name"), F.lit("i"))
+    return table(spark, d, "customer").select("c_custkey", coerce.number_of_bool(F.col("c_acctbal") < 0).cast("int").alias("flag"), coerce.least_value("sint32").alias("least"), coerce.greatest_value("uint32").alias("greatest"), F.hex(coerce.object_id(F.hex(digits))).alias("oid"), F.hex(coerce.binary_for_text(F.col("c_name").cast("binary"))).alias("packed"), pair["pattern"].alias("pattern"), pair["options"].alias("options"))
+
+
+@query("q_text_forms", r"""
+    SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS trimmed, regexp_replace(text, '\s+$', '') AS chomped, hex(coalesce(source, '')) AS hexed,
+           coalesce(source, '') AS back FROM documents""")
+def q_text_forms(spark: SparkSession, d: str) -> DataFrame:
+    source = F.coalesce("source", F.lit(""))
+    coded = strings.utf_decode(strings.utf_encode(strings.utf_decode(strings.utf_encode(source, 16), 16), 32), 32)
+    return table(spark, d, "documents").select("doc_id", strings.trim_space(F.col("text")).alias("trimmed"), strings.chomp_space(F.col("text")).alias("chomped"), strings.hex_of(strings.from_hex(strings.hex_of(source))).alias("hexed"), coded.alias("back"))
+
+
+@query("q_successor", "SELECT p_partkey, left(p_name, length(p_name) - 1) || chr(ascii(right(p_name, 1)) + 1) AS next FROM part WHERE p_name <> ''")
+def q_successor(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").where("p_name <> ''").select("p_partkey", strings.successor(F.col("p_name").cast("binary")).cast("string").alias("next"))
+
+
+@query("q_crc32c")
+def q_crc32c(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", bits.crc32c(F.col("text").cast("binary")).alias("crc"))
+
+
 @query("q_coerce_number_text", "SELECT c_custkey, format('{:.6f}', c_acctbal) AS balance, (c_custkey * 7)::VARCHAR AS digits FROM customer")
 def q_coerce_number_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", coerce.text_of_number(F.col("c_acctbal"), "float64").alias("balance"), coerce.text_of_number(F.col("c_custkey") * 7, "sint64").alias("digits"))
@@ -439,6 +537,12 @@ def q_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return (double | mark).run(table(spark, d, "orders").select("o_orderkey", "o_totalprice"))
 
 
+@query("q_pipeline_ordered", "SELECT o_orderkey, o_totalprice * 2 AS twice, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders")
+def q_pipeline_ordered(spark: SparkSession, d: str) -> DataFrame:
+    double = pipeline.Stage(lambda b: b.assign(twice=b.o_totalprice * 2)[["o_orderkey", "twice"]], "o_orderkey long, twice double")
+    return scan.numbered(double.run(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), keep_order="o_orderkey"), [F.col("o_orderkey").asc()])
+
+
 # key-value access
 
 
@@ -477,6 +581,20 @@ def q_kv_batch(spark: SparkSession, d: str) -> DataFrame:
     return kv.apply_batch(_documents_kv(spark, d), batch)
 
 
+@query("q_kv_snapshot", """
+    SELECT 'snapshot' AS at, p_partkey::VARCHAR AS key, p_name AS val FROM part
+    UNION ALL SELECT 'now', p_partkey::VARCHAR, CASE WHEN p_size % 3 = 1 THEN p_brand ELSE p_name END FROM part WHERE p_size % 3 <> 0""")
+def q_kv_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    pairs = kv.KeyValue.open(spark, _folder(spark, "kv"))
+    key, part = F.col("p_partkey").cast("string").cast("binary").alias("key"), table(spark, d, "part")
+    pairs.load(part.select(key, F.col("p_name").cast("binary").alias("val"), F.lit("put").alias("op"), F.lit(0).alias("seq")))
+    snapshot = pairs.snapshot()
+    op = F.when(F.col("p_size") % 3 == 0, "delete").otherwise("put")
+    pairs.load(part.where("p_size % 3 <> 2").select(key, F.col("p_brand").cast("binary").alias("val"), op.alias("op"), F.lit(0).alias("seq")))
+    text = lambda rows, at: rows.select(F.lit(at).alias("at"), F.col("key").cast("string").alias("key"), F.col("val").cast("string").alias("val"))
+    return text(snapshot.rows(), "snapshot").unionAll(text(pairs.rows(), "now"))
+
+
 # index and scan work on the domain tables
 
 
@@ -493,7 +611,7 @@ def q_feed_current(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_tweets_nonunique", "SELECT _id, count(*) AS n FROM tweets GROUP BY _id")
 def q_tweets_nonunique(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "tweets").groupBy("_id").agg(F.count("*").alias("n"))
+    return index.key_counts(table(spark, d, "tweets"), ["_id"])
 
 
 @query("q_bit_rank", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN row_number() OVER (PARTITION BY o_orderstatus = 'F' ORDER BY o_orderkey) - 1 END AS rank1 FROM orders")
@@ -518,7 +636,27 @@ def q_varint_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, label: str) -> str:
-    return os.path.join(shared_dir(spark).removeprefix("file://"), f"{label}-{uuid.uuid4().hex}")
+    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+_ORDER = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+
+def _plain_store(spark: SparkSession, d: str, **options) -> Store:
+    """Orders in one commit."""
+    orders = table(spark, d, "orders").select(*_ORDER)
+    store = Store.create(spark, _folder(spark, "orders"), orders.schema, [["o_orderkey"]], **options)
+    store.insert(orders, check=False)
+    return store
+
+
+def _two_segments(spark: SparkSession, d: str) -> Store:
+    """Orders of even customers, then those of odd ones."""
+    orders = table(spark, d, "orders").select(*_ORDER)
+    store = Store.create(spark, _folder(spark, "orders"), orders.schema, [["o_orderkey"]])
+    for odd in (0, 1):
+        store.insert(orders.where(F.col("o_custkey") % 2 == odd), check=False)
+    return store
 
 
 def _orders_store(spark: SparkSession, d: str) -> Store:
@@ -572,3 +710,98 @@ def q_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     changes = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d.rstrip('/')}/events.parquet*").select("user_id", "event_id", "event_type", F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"))
     apply_stream(changes, store, "event_id", _folder(spark, "stream-checkpoint"), op="op").awaitTermination()
     return store.read()
+
+
+@query("q_store_exact", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 77")
+def q_store_exact(spark: SparkSession, d: str) -> DataFrame:
+    return _plain_store(spark, d).exact([77])
+
+
+@query("q_store_range", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey >= 1000 AND o_orderkey < 4000")
+def q_store_range(spark: SparkSession, d: str) -> DataFrame:
+    store = _two_segments(spark, d)
+    store.compact()
+    return store.between([1000], [4000])
+
+
+@query("q_store_grown", "SELECT 1 AS at, o_orderkey FROM orders WHERE o_custkey % 2 = 0 UNION ALL SELECT 2, o_orderkey FROM orders")
+def q_store_grown(spark: SparkSession, d: str) -> DataFrame:
+    store = _two_segments(spark, d)
+    return store.read(1).select(F.lit(1).alias("at"), "o_orderkey").unionAll(store.read().select(F.lit(2), "o_orderkey"))
+
+
+@query("q_store_in_place", """
+    SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rid,
+           CASE WHEN o_orderkey % 3 = 0 THEN (CASE WHEN o_custkey < 500 THEN o_totalprice + 1 ELSE o_totalprice END) * 2
+                WHEN o_custkey < 500 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders""")
+def q_store_in_place(spark: SparkSession, d: str) -> DataFrame:
+    store = _plain_store(spark, d, in_place=[["o_totalprice"]])
+    store.set_columns({"o_totalprice": "o_totalprice + 1"}, "o_custkey < 500")
+    store.set_columns({"o_totalprice": "o_totalprice * 2"}, "o_orderkey % 3 = 0")
+    return store.read(ids=True).select("o_orderkey", F.col("__rid").alias("rid"), "o_totalprice")
+
+
+@query("q_store_update", "SELECT o_orderkey, CASE WHEN o_custkey < 500 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey FROM orders")
+def q_store_update(spark: SparkSession, d: str) -> DataFrame:
+    store = _plain_store(spark, d)
+    store.update({"o_custkey": "o_custkey + 1"}, "o_custkey < 500")
+    return store.read().select("o_orderkey", "o_custkey")
+
+
+@query("q_store_undelete", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rid FROM orders QUALIFY o_custkey >= 500 OR o_orderkey % 2 = 0")
+def q_store_undelete(spark: SparkSession, d: str) -> DataFrame:
+    store = _plain_store(spark, d)
+    store.delete("o_custkey < 500")
+    store.undelete("o_orderkey % 2 = 0")
+    return store.read(ids=True).select("o_orderkey", F.col("__rid").alias("rid"))
+
+
+@query("q_store_transaction", """
+    SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal >= 0""")
+def q_store_transaction(spark: SparkSession, d: str) -> DataFrame:
+    store, customers = _plain_store(spark, d), table(spark, d, "customer")
+    t = store.begin()
+    t.upsert(customers.select(F.col("c_custkey").cast("long").alias("o_orderkey"), F.col("c_nationkey").cast("long").alias("o_custkey"), F.lit(0.0).alias("o_totalprice"), F.lit(0).alias("seq")), "seq")
+    t.delete(customers.where("c_acctbal < 0").select(F.col("c_custkey").cast("long").alias("o_orderkey")))
+    t.commit()
+    return store.read().select("o_orderkey", "o_custkey")
+
+
+@query("q_store_tag_and_copy", "SELECT 'tag' AS at, o_orderkey FROM orders UNION ALL SELECT 'copy', o_orderkey FROM orders WHERE o_custkey >= 500")
+def q_store_tag_and_copy(spark: SparkSession, d: str) -> DataFrame:
+    store = _plain_store(spark, d)
+    store.tag("before")
+    store.delete("o_custkey < 500")
+    copy = store.copy_to(_folder(spark, "copy"))
+    return store.read("before").select(F.lit("tag").alias("at"), "o_orderkey").unionAll(copy.read().select(F.lit("copy"), "o_orderkey"))
+
+
+@query("q_store_maintain", "SELECT 'convert' AS first, 'none' AS last, count(*) AS n FROM orders")
+def q_store_maintain(spark: SparkSession, d: str) -> DataFrame:
+    store = _plain_store(spark, d)
+    done = [store.maintain() for _ in range(2)]
+    return store.read().agg(F.count("*").alias("n")).select(F.lit(done[0]).alias("first"), F.lit(done[1]).alias("last"), "n")
+
+
+@query("q_store_replay", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey >= 500")
+def q_store_replay(spark: SparkSession, d: str) -> DataFrame:
+    from kittiwake.streaming.changes import replay
+
+    store = _plain_store(spark, d)
+    copy = Store.create(spark, _folder(spark, "replay"), store.schema(), [["o_orderkey"]])
+    replay(store, copy)
+    store.delete("o_custkey < 500")
+    replay(store, copy)
+    return copy.read()
+
+
+@query("q_catalog", "SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'part', 0")
+def q_catalog(spark: SparkSession, d: str) -> DataFrame:
+    catalog, customers = Catalog(spark, _folder(spark, "catalog")), table(spark, d, "customer").select("c_custkey", "c_name")
+    catalog.create_table("customer", customers.schema, [["c_custkey"]]).insert(customers, check=False)
+    catalog.create_table("part", customers.schema).insert(customers, check=False)
+    catalog.create_table("region", customers.schema)
+    catalog.open_table("part").clear()
+    catalog.drop_table("region")
+    return spark.createDataFrame([(n, catalog.open_table(n).read().count()) for n in catalog.list_tables()], "name string, n long")

@@ -61,3 +61,8 @@ def dump(rows: DataFrame, rid: str, start: int = 0, count: int | None = None) ->
     """JSON of the rows with ids from ``start`` on, at most ``count`` of them, in id order."""
     own = rows.where(F.col(rid) >= start).orderBy(F.col(rid).asc())
     return to_json(own if count is None else own.limit(count))
+
+
+def write_lines(rows: DataFrame, path: str, delimiter: str = "\t", compression: str = "none") -> None:
+    """Text files of the rows, plain or compressed (gzip, bzip2)."""
+    to_lines(rows, delimiter).write.option("compression", compression).text(path)

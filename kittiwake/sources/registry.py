@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from kittiwake.sources.files import Files
 from kittiwake.sources.store import Store
 
 _OPENERS: dict[str, Callable[[SparkSession, str, T.StructType | None], DataFrame]] = {}
@@ -21,7 +21,7 @@ def register_source(suffix: str, opener: Callable[[SparkSession, str, T.StructTy
 
 def open_source(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A file or folder by its suffix; a folder with manifests is a table."""
-    if os.path.isdir(path) and os.path.exists(os.path.join(path, "manifest-0000000000.json")):
+    if any(n.startswith("manifest-") for n in Files(spark, path).list()):
         return Store.open(spark, path).read()
     name = path.removesuffix(".gz").removesuffix(".bz2")
     suffix = name.rpartition(".")[2]
@@ -43,41 +43,67 @@ for _suffix, _kind, _options in (("parquet", "parquet", {}), ("orc", "orc", {}),
 register_source("empty", lambda spark, path, schema: spark.createDataFrame([], schema or T.StructType()))
 
 
+def _file_system(path: str):
+    """File system and path of a local path or a URI, also on executors."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def _manifest(folder: str, version: int | None) -> dict:
+    from pyarrow import fs
+
+    system, at = _file_system(folder)
+    names = [i.path for i in system.get_file_info(fs.FileSelector(at)) if i.base_name.startswith("manifest-")]
+    with system.open_input_stream(max(names)) as f:
+        m = json.loads(f.read())
+    if any(version is None or o["version"] <= version for o in m["overlays"]):
+        raise ValueError("this table has columns changed in place; compact it, or read it with Store.read")
+    return m
+
+
 class _File(InputPartition):
-    def __init__(self, path: str, gone: list[str], version: int):
-        self.path, self.gone, self.version = path, gone, version
+    def __init__(self, path: str, marks: list[tuple[str, bool]], version: int):
+        self.path, self.marks, self.version = path, marks, version
 
 
 class _TableReader(DataSourceReader):
     def __init__(self, schema: T.StructType, folder: str, version: int | None):
         self.names, self.folder = schema.names, folder
-        found = sorted(f for f in os.listdir(folder) if f.startswith("manifest-"))
-        with open(os.path.join(folder, found[-1])) as f:
-            self.manifest = json.load(f)
+        self.manifest = _manifest(folder, version)
         self.version = self.manifest["version"] if version is None else version
 
-    def _parts(self, path: str) -> list[str]:
-        full = os.path.join(self.folder, path)
-        return sorted(os.path.join(full, f) for f in os.listdir(full) if f.endswith(".parquet"))
-
     def partitions(self) -> list[InputPartition]:
-        gone = [p for t in self.manifest["tombstones"] if t["version"] <= self.version for p in self._parts(t["path"])]
-        return [_File(p, gone, self.version) for s in self.manifest["segments"] for p in self._parts(s["path"])]
+        """A partition a file, with the mark files whose record ids meet its own."""
+        out = []
+        for s in self.manifest["segments"]:
+            for p in s["parts"]:
+                low, high = p["bounds"]["__rid"]
+                marks = [(f"{self.folder}/{t['path']}/{q['name']}", t["clear"]) for t in self.manifest["tombstones"] if t["version"] <= self.version for q in t["parts"] if q["bounds"]["__rid"][0] <= high and q["bounds"]["__rid"][1] >= low]
+                out.append(_File(f"{self.folder}/{s['path']}/{p['name']}", marks, self.version))
+        return out
 
     def read(self, partition: _File) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
         import pyarrow.parquet as pq
 
-        f = pq.ParquetFile(partition.path)
+        def opened(path: str):
+            system, at = _file_system(path)
+            return pq.ParquetFile(at, filesystem=system)
+
+        f = opened(partition.path)
+        own = f.read(columns=["__rid"]).column("__rid")
+        # marks of this file's rows only, read once
+        marks: dict[int, tuple[int, bool]] = {}
+        for path, clear in partition.marks:
+            for b in opened(path).iter_batches(columns=["__rid", "__del_ver"]):
+                b = b.filter(pc.and_(pc.less_equal(b.column("__del_ver"), partition.version), pc.is_in(b.column("__rid"), value_set=own)))
+                for rid, at in zip(b.column("__rid").to_pylist(), b.column("__del_ver").to_pylist()):
+                    marks[rid] = max(marks.get(rid, (-1, True)), (at, clear))
+        gone = pa.array([rid for rid, (_, clear) in marks.items() if not clear], pa.int64())
         for batch in f.iter_batches(columns=["__rid", "__ins_ver", *self.names]):
-            keep = pc.less_equal(batch.column("__ins_ver"), partition.version)
-            low, high = pc.min(batch.column("__rid")).as_py(), pc.max(batch.column("__rid")).as_py()
-            for path in partition.gone if low is not None else ():
-                for tomb in pq.ParquetFile(path).iter_batches(columns=["__rid", "__del_ver"]):
-                    hit = tomb.filter(pc.and_(pc.less_equal(tomb.column("__del_ver"), partition.version), pc.and_(pc.greater_equal(tomb.column("__rid"), low), pc.less_equal(tomb.column("__rid"), high))))
-                    if hit.num_rows:
-                        keep = pc.and_(keep, pc.invert(pc.is_in(batch.column("__rid"), value_set=hit.column("__rid"))))
+            keep = pc.and_(pc.less_equal(batch.column("__ins_ver"), partition.version), pc.invert(pc.is_in(batch.column("__rid"), value_set=gone)))
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in self.names], names=self.names).filter(keep)
 
 
@@ -91,12 +117,11 @@ class TableSource(DataSource):
         return "kittiwake"
 
     def _folder(self) -> str:
-        return self.options["path"].removeprefix("file://")
+        return self.options["path"].removeprefix("file://").rstrip("/")
 
     def schema(self) -> T.StructType:
-        found = sorted(f for f in os.listdir(self._folder()) if f.startswith("manifest-"))
-        with open(os.path.join(self._folder(), found[-1])) as f:
-            return T.StructType.fromJson(json.load(f)["schema"])
+        v = self.options.get("version")
+        return T.StructType.fromJson(_manifest(self._folder(), int(v) if v is not None else None)["schema"])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         v = self.options.get("version")
