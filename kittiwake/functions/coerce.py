@@ -29,6 +29,16 @@ def wrap(value: Column, kind: str) -> Column:
     return (F.when(r < 0, r + modulus).otherwise(r) - half).cast(SPARK_NAME[kind])
 
 
+def wrap_long(value: Column, kind: str) -> Column:
+    """The same for a 64-bit value, by shifts and masks."""
+    bits, low = _BITS[kind], LIMITS[kind][0]
+    if bits == 64:
+        return value if low else F.when(value < 0, value.cast("decimal(20,0)") + _big(2**64)).otherwise(value).cast(SPARK_NAME[kind])
+    if not low:
+        return value.bitwiseAND(F.lit(2**bits - 1).cast("long")).cast(SPARK_NAME[kind])
+    return F.shiftright(F.shiftleft(value, 64 - bits), 64 - bits).cast(SPARK_NAME[kind])
+
+
 def saturate(value: Column, kind: str) -> Column:
     """A double truncated toward zero and held within the limits of an integer kind; NaN becomes 0."""
     low, high = LIMITS[kind]

@@ -10,7 +10,7 @@ from pyspark.sql import Column as Col
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kittiwake.functions.coerce import greatest_value, least_value, number_of_text, saturate, text_of_number, wrap, zero_if_missing
+from kittiwake.functions.coerce import SPARK_NAME, greatest_value, least_value, number_of_text, saturate, text_of_number, wrap, wrap_long, zero_if_missing
 from kittiwake.schema import INTEGERS, NUMBERS, TAIL, Column, TableDef
 from kittiwake.sources.store import Store
 
@@ -34,8 +34,8 @@ def _value(c: Column, v: Col, raw: Col, kind: Col, text: Col) -> Col:
         if c.kind in INTEGERS:
             date = special("$date").cast("bigint")
             stamp = special("$timestamp")
-            dated = F.when(stamp.isNotNull() & F.lit(c.width == 8), wrap(stamp.cast("decimal(20,0)"), c.kind)).when(date.isNotNull(), wrap(F.when(date >= 0, F.floor(date / 1000)).otherwise(F.ceil(date / 1000)), c.kind) if c.width == 4 else wrap(date, c.kind))
-            plain = F.when(kind == "BOOLEAN", wrap(F.try_variant_get(v, "$", "boolean").cast("int"), c.kind)).when(whole, wrap(long, c.kind)).when(kind == "STRING", number_of_text(F.when(kind == "STRING", text), c.kind)).otherwise(saturate(number, c.kind))
+            dated = F.when(stamp.isNotNull() & F.lit(c.width == 8), wrap(stamp.cast("decimal(20,0)"), c.kind)).when(date.isNotNull(), wrap_long(F.when(date >= 0, F.floor(date / 1000)).otherwise(F.ceil(date / 1000)), c.kind) if c.width == 4 else wrap_long(date, c.kind))
+            plain = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("long").cast(SPARK_NAME[c.kind])).when(whole, wrap_long(long, c.kind)).when(kind == "STRING", number_of_text(F.when(kind == "STRING", text), c.kind)).otherwise(saturate(number, c.kind))
         else:
             dated = F.lit(None).cast("double")
             plain = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when(kind == "STRING", number_of_text(F.when(kind == "STRING", text), c.kind)).otherwise(number)
