@@ -1,6 +1,6 @@
 import random
 
-from kittiwake.llm.contamination import build_postings, leaks
+from kittiwake.llm.contamination import PositionalIndex, leaks
 from kittiwake.llm.tokens import text_words
 
 DOC, ITEM = "doc_id long, text string, item_id int, positions int", "item_id long, prompt string, doc_id int, n int"
@@ -45,7 +45,7 @@ def test_against_brute_force(spark):
             if n is not None and k is not None and (m := longest(text_words(p), text_words(t))) >= 12:
                 want[n, k] = m
     assert len(want) > 20 and (52, 202) in want
-    for options in ({}, {"block": 5}):
+    for options in ({}, {"block_words": 50}):
         rows = leaks(d, i, **options).collect()
         assert len(rows) == len(want) and {(r.item_id, r.doc_id): r.words for r in rows} == want
     near = {(r.item_id, r.doc_id) for r in leaks(d, i, slack=2).collect()}
@@ -112,9 +112,23 @@ def test_a_replaced_word(spark):
     assert not leaks(rare, whole, slack=4).collect() and not leaks(rare, whole, slack=4, missing=1).collect()
 
 
-def test_postings(spark):
-    d = spark.createDataFrame([(1, "b a, B!", 1, 1), (2, None, 1, 1), (3, "", 1, 1)], DOC)
-    assert {(r.term, r.doc_id, tuple(r.positions)) for r in build_postings(d).collect()} == {("b", 1, (0, 2)), ("a", 1, (1,))}
+def test_postings(spark, tmp_path):
+    d = spark.createDataFrame([(1, "b a, B!", 1, 1), (2, None, 1, 1), (3, "", 1, 1), (4, "- -", 1, 1), (5, "a c", 1, 1)], DOC).coalesce(1)
+    index = PositionalIndex.create(d, folder=str(tmp_path / "index"))
+    assert {(r.term, r.doc_id, tuple(r.positions)) for r in index.postings().collect()} == {("b", 1, (0, 2)), ("a", 1, (1,)), ("a", 5, (0,)), ("c", 5, (1,))}
+    assert index.shards().count() == 1
+
+
+def test_an_index_in_several_shards_serves_again(spark, tmp_path):
+    docs, items = sample()
+    d = spark.createDataFrame([(*x, 1, 1) for x in docs], DOC).coalesce(1)
+    i = spark.createDataFrame([(*x, 1, 1) for x in items] + [(0, items[3][1], 1, 1)], ITEM)
+    rows = lambda x, **o: sorted(tuple(r) for r in leaks(x, i, **o).select("item_id", "doc_id").collect())
+    want = rows(d), rows(d, slack=1, missing=1)
+    index = PositionalIndex.create(d, folder=str(tmp_path / "index"), shard_words=500)
+    assert index.shards().count() > 8
+    again = PositionalIndex(spark, str(tmp_path / "index"))
+    assert (rows(again), rows(again, slack=1, missing=1)) == want
 
 
 def test_empty(spark):
