@@ -65,7 +65,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_perplexity(spark: SparkSession, d: str) -> DataFrame:
-    return perplexity_bands(table(spark, d, "documents"))
+    return perplexity_bands(table(spark, d, "documents")).withColumn("perplexity", F.round("perplexity", 6))
 
 
 QUERIES = {"p2_found": p2_found, "p2_copies": p2_copies, "p3_found": p3_found, "p4_found": p4_found, "p4_sanitised": p4_sanitised, "p5_found": p5_found, "p5_places": p5_places, "p7_containers": p7_containers, "p8_found": p8_found, "p8_near": p8_near, "p9_found": p9_found, "p9_shares": p9_shares, "p9_perplexity": p9_perplexity}
@@ -99,4 +99,31 @@ ORACLE = {
         g AS (SELECT doc_id, array_to_string(w[k:k+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) >= 20))
         SELECT doc_id FROM g GROUP BY doc_id HAVING count(*) - count(DISTINCT g) > 0.3 * count(*)
     """,
+    "p9_perplexity": r"""
+        WITH d AS (SELECT doc_id, CASE WHEN regexp_extract(lower(coalesce(lang, '')), '^\s*([a-z]{2})', 1) = '' THEN 'und' ELSE regexp_extract(lower(coalesce(lang, '')), '^\s*([a-z]{2})', 1) END AS lang,
+                          coalesce(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), []) AS w FROM documents),
+        t AS (SELECT doc_id, lang, w[k] AS a, w[k+1] AS b, w[k+2] AS c FROM (SELECT *, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) >= 3)),
+        tri AS (SELECT lang, a, b, c, count(*) AS n FROM t GROUP BY ALL),
+        bi AS (SELECT lang, b, c, count(*) AS n FROM tri GROUP BY ALL),
+        uni AS (SELECT lang, c, count(*) AS n FROM bi GROUP BY ALL),
+        every AS (SELECT lang, n, 3 AS o FROM tri UNION ALL SELECT lang, n, 2 FROM bi UNION ALL SELECT lang, n, 1 FROM uni),
+        seen AS (SELECT lang, o, count(*) FILTER (n = 1)::DOUBLE AS n1, count(*) FILTER (n = 2)::DOUBLE AS n2, count(*) FILTER (n = 3)::DOUBLE AS n3, count(*) FILTER (n = 4)::DOUBLE AS n4 FROM every GROUP BY ALL),
+        disc AS (SELECT lang, o,
+            least(greatest(CASE WHEN n1 > 0 THEN 1 - 2 * (n1 / (n1 + 2 * n2)) * n2 / n1 ELSE 0.5 END, 0.05), 0.95) AS d1,
+            least(greatest(CASE WHEN n2 > 0 AND n1 > 0 THEN 2 - 3 * (n1 / (n1 + 2 * n2)) * n3 / n2 ELSE 1.0 END, 0.05), 1.9) AS d2,
+            least(greatest(CASE WHEN n3 > 0 AND n1 > 0 THEN 3 - 4 * (n1 / (n1 + 2 * n2)) * n4 / n3 ELSE 1.5 END, 0.05), 2.85) AS d3 FROM seen),
+        c1 AS (SELECT lang, sum(n) AS s, sum(CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END) AS m, count(*) AS v FROM uni JOIN disc USING (lang) WHERE o = 1 GROUP BY lang),
+        p1 AS (SELECT lang, c, (n - CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END) / s + m / s / v AS p FROM uni JOIN c1 USING (lang) JOIN disc USING (lang) WHERE o = 1),
+        c2 AS (SELECT lang, b, sum(n) AS s, sum(CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END) AS m FROM bi JOIN disc USING (lang) WHERE o = 2 GROUP BY lang, b),
+        p2 AS (SELECT lang, b, c, (n - CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END) / s + m / s * p AS p FROM bi JOIN c2 USING (lang, b) JOIN p1 USING (lang, c) JOIN disc USING (lang) WHERE o = 2),
+        c3 AS (SELECT lang, a, b, sum(n) AS s, sum(CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END) AS m FROM tri JOIN disc USING (lang) WHERE o = 3 GROUP BY lang, a, b),
+        p3 AS (SELECT lang, a, b, c, ln((n - CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END) / s + m / s * p) AS lp FROM tri JOIN c3 USING (lang, a, b) JOIN p2 USING (lang, b, c) JOIN disc USING (lang) WHERE o = 3),
+        e AS (SELECT doc_id, lang, -avg(lp) AS bits FROM t JOIN p3 USING (lang, a, b, c) GROUP BY doc_id, lang),
+        r AS (SELECT d.doc_id, d.lang, len(w) AS words, bits FROM d LEFT JOIN e USING (doc_id, lang)),
+        q AS (SELECT lang, list_sort(list(bits)) AS l FROM r WHERE words >= 20 AND bits IS NOT NULL GROUP BY lang),
+        band AS (SELECT lang, l[ceil(0.25 * len(l))::INT] AS q1, l[ceil(0.75 * len(l))::INT] AS q3 FROM q)
+        SELECT doc_id, lang, words::INT AS words, round(exp(bits), 6) AS perplexity,
+               CASE WHEN words < 20 THEN 'short' WHEN bits < q1 - 1.5 * (q3 - q1) THEN 'low' WHEN bits > q3 + 1.5 * (q3 - q1) THEN 'high' ELSE 'ok' END AS verdict
+        FROM r LEFT JOIN band USING (lang)
+    """,
 }

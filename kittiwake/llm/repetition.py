@@ -2,11 +2,12 @@
 
 ``repeated_share`` measures each document against its own past: sorted hash arrays of its n-grams give the runs that occurred
 before, without any shuffle. ``perplexity_bands`` counts a modified Kneser-Ney trigram model over the whole corpus, language by
-language, keeps it as a table sorted by n-gram hash, and rejects documents outside the band of their language.
+language, stores it in sorted hash arrays, looks all trigrams up there, and rejects documents outside their language's band.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,48 +96,86 @@ def language(lang: Column) -> Column:
     return F.when(two == "", "und").otherwise(two)
 
 
-#: Trigrams that are combined in memory at once.
-_GRAMS_AT_ONCE = 200_000
+#: Words of a shard of coded texts; a longer text is a shard of its own.
+_SHARD_WORDS = 1_000_000
+_CODED = "doc_ids binary, doc_ends binary, doc_langs binary, langs array<string>, codes binary, hashes binary"
 
 
-def _trigrams(with_doc: bool):
-    """Counted trigrams of word hashes: of each batch, or of each document."""
+def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as numbers of words, in shards of whole documents with the hash of each word; the same word of two languages
+    is two words."""
+    names = [f.split()[0] for f in _CODED.split(", ")]
+    known: dict[str, dict[str, int]] = {}
+    codes, hashes, ids, ends, langs = array("i"), array("Q"), [], [], []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            ids, langs, kinds = batch.column(0), batch.column(1), batch.column(1).dictionary_encode()
-            codes, parts, owner, held = kinds.indices.to_numpy(zero_copy_only=False), [], [], 0
-            for k, t in enumerate(batch.column(2).to_pylist()):
-                w = hashes.of(text_words(t))
-                if len(w) >= 3:
-                    parts.append(np.stack([w[:-2], w[1:-1], w[2:]], axis=1))
-                    owner.append(np.full(len(w) - 2, k if with_doc else codes[k]))
-                    held += len(w)
-                if parts and (held >= _GRAMS_AT_ONCE or k == batch.num_rows - 1):
-                    abc, own = np.concatenate(parts), np.concatenate(owner)
-                    key = gram_hashes_rows(np.column_stack([abc, own.astype(np.uint64)]))
-                    _, first, n = np.unique(key, return_index=True, return_counts=True)
-                    abc, own = abc[first].view(np.int64), own[first]
-                    docs = ids.take(pa.array(own)) if with_doc else pa.nulls(len(own), pa.int64())
-                    lang = (langs if with_doc else kinds.dictionary).take(pa.array(own))
-                    yield pa.RecordBatch.from_arrays([docs, lang, *(pa.array(abc[:, c]) for c in range(3)), pa.array(n)], names=["doc_id", "lang", "a", "b", "c", "n"])
-                    parts, owner, held = [], [], 0
+    def shard() -> pa.RecordBatch:
+        order = {x: k for k, x in enumerate(known)}
+        row = [np.array(ids, np.int64).tobytes(), np.array(ends, np.int32).tobytes(), np.array([order[x] for x in langs], np.int16).tobytes(), list(known), codes.tobytes(), hashes.tobytes()]
+        types = [pa.list_(pa.string()) if n == "langs" else pa.binary() for n in names]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
 
-    return run
+    for b in batches:
+        for d, lang, t in zip(*(c.to_pylist() for c in b.columns)):
+            w = text_words(t)
+            if ids and len(codes) + len(w) > _SHARD_WORDS:
+                yield shard()
+                known, codes, hashes, ids, ends, langs = {}, array("i"), array("Q"), [], [], []
+            own = known.setdefault(lang, {})
+            seed = int.from_bytes(lang.encode()[:8], "big")
+            for x in w:
+                k = own.get(x)
+                if k is None:
+                    k = own[x] = len(hashes)
+                    hashes.append(xxhash.xxh3_64_intdigest(x, seed))
+                codes.append(k)
+            ids.append(d)
+            ends.append(len(codes))
+            langs.append(lang)
+    if ids:
+        yield shard()
 
 
-def gram_hashes_rows(rows: np.ndarray) -> np.ndarray:
-    """Hash of each row of word hashes."""
-    h = np.zeros(len(rows), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(rows.shape[1]):
-            h = (h ^ rows[:, k]) * _MIX
-            h ^= h >> np.uint64(29)
-    return h
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _turn(x: Column, by: int) -> Column:
+    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
+
+
+class Coded:
+    """One shard: its documents, and the trigrams inside them."""
+
+    def __init__(self, row: dict):
+        read = lambda name, kind: np.frombuffer(row[name], kind)
+        self.doc_ids, self.doc_ends, self.doc_langs, self.langs = read("doc_ids", np.int64), read("doc_ends", np.int32), read("doc_langs", np.int16), row["langs"]
+        word, doc = read("hashes", np.uint64)[read("codes", np.int32)], np.repeat(np.arange(len(self.doc_ids)), np.diff(self.doc_ends, prepend=0))
+        inside = np.nonzero(doc[2:] == doc[:-2])[0]
+        self.doc, self.abc = doc[inside], (word[inside], word[inside + 1], word[inside + 2])
+        a, b, c = self.abc
+        # words are hashes already, so that turning two of three makes the order count
+        self.hash = (a ^ _turned(b, 21) ^ _turned(c, 42)).view(np.int64)
 
 
-_COUNTED = "doc_id long, lang string, a long, b long, c long, n long"
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Coded]:
+    for b in batches:
+        for k in range(b.num_rows):
+            yield Coded(b.slice(k, 1).to_pylist()[0])
+
+
+_COUNTED = "lang string, a long, b long, c long, n long"
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for s in _shards(batches):
+        _, first, n = np.unique(s.hash, return_index=True, return_counts=True)
+        lang = pa.DictionaryArray.from_arrays(pa.array(s.doc_langs[s.doc[first]]), pa.array(s.langs, pa.string())).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([lang, *(pa.array(x[first].view(np.int64)) for x in s.abc), pa.array(n)], names=["lang", "a", "b", "c", "n"])
+
+
+def coded(documents: DataFrame) -> DataFrame:
+    """The texts of (doc_id, lang, text) as numbers, kept in the shared folder, so that they are split into words once."""
+    return cut(documents.mapInArrow(_code, _CODED))
 
 
 def _discounts(counts: DataFrame, n: str) -> DataFrame:
@@ -161,13 +200,12 @@ def _left_mass(prefix: str) -> Column:
     return (F.col("d1") * F.col(f"{prefix}_1") + F.col("d2") * F.col(f"{prefix}_2") + F.col("d3") * F.col(f"{prefix}_3")) / F.col(f"{prefix}_all")
 
 
-def kneser_ney(documents: DataFrame, stored: bool = True) -> DataFrame:
-    """(lang, a, b, c, logp, h): natural logarithm of the interpolated modified Kneser-Ney probability of c after a b for
-    every trigram of ``documents`` (doc_id, lang, text). ``stored``: sorted by the hash h inside range partitions, as the
-    table is kept; a join sorts by h itself.
+def kneser_ney(texts: DataFrame) -> DataFrame:
+    """(lang, a, b, c, logp): natural logarithm of the interpolated modified Kneser-Ney probability of c after a b for
+    every trigram of ``coded`` texts.
 
-    Trigrams are combined inside each batch before the shuffle; lower orders use continuation counts."""
-    tri = cut(documents.mapInArrow(_trigrams(False), _COUNTED).groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n")))
+    Trigrams are combined inside each shard before the shuffle; lower orders use continuation counts."""
+    tri = cut(texts.mapInArrow(_count, _COUNTED).groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n")))
     bi = cut(tri.groupBy("lang", "b", "c").agg(F.count("*").alias("n")))
     uni = bi.groupBy("lang", "c").agg(F.count("*").alias("n"))
     # one row a language each: a bounded number of two-letter codes
@@ -178,26 +216,100 @@ def kneser_ney(documents: DataFrame, stored: bool = True) -> DataFrame:
     p2 = p2.select("lang", "b", "c", (_discounted(F.col("n")) / F.col("x_all") + _left_mass("x") * F.col("p1")).alias("p2"))
     p3 = tri.join(_context(tri, ["a", "b"], "n", "x"), ["lang", "a", "b"]).join(p2, ["lang", "b", "c"]).join(F.broadcast(d3), "lang")
     p3 = p3.select("lang", "a", "b", "c", F.log(_discounted(F.col("n")) / F.col("x_all") + _left_mass("x") * F.col("p2")).alias("logp"))
-    p3 = p3.withColumn("h", F.xxhash64("lang", "a", "b", "c"))
-    return p3.repartitionByRange("h").sortWithinPartitions("h") if stored else p3
+    return p3
+
+
+_ARRAYS = "hashes binary, logps binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(k).to_numpy().tobytes()], pa.binary()) for k in (0, 1)], names=["hashes", "logps"])
+
+
+class HashArrays:
+    """A model as sorted arrays of trigram hashes and logarithms, stored in the shared folder in blocks of ascending hashes."""
+
+    def __init__(self, model: DataFrame):
+        h = F.col("a").bitwiseXOR(_turn(F.col("b"), 21)).bitwiseXOR(_turn(F.col("c"), 42))
+        ordered = model.select(h.alias("h"), "logp").repartitionByRange("h").sortWithinPartitions("h")
+        self.blocks = cut(ordered.mapInArrow(_pack, _ARRAYS))
+        self.entries = self.blocks.agg(F.sum(F.length("hashes") / 8)).first()[0] or 0
+
+    def load(self) -> tuple[np.ndarray, np.ndarray]:
+        rows = sorted(((np.frombuffer(r[0], np.int64), np.frombuffer(r[1], float)) for r in self.blocks.collect()), key=lambda r: r[0][0])
+        return tuple(np.concatenate([r[k] for r in rows] or [np.zeros(0, t)]) for k, t in ((0, np.int64), (1, float)))
+
+    def unpacked(self) -> DataFrame:
+        """(h, logp) as rows."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in range(b.num_rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b.column(j)[k].as_py(), t)) for j, t in ((0, np.int64), (1, float))], names=["h", "logp"])
+
+        return self.blocks.mapInArrow(run, "h long, logp double")
+
+
+_SCORED = "doc_id long, lang string, words long, grams long, total double"
+
+
+def _score(shared):
+    """Each document's trigrams looked up in the sorted arrays, each different one of a shard once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, logps = shared.value
+        for s in _shards(batches):
+            different, which = np.unique(s.hash, return_inverse=True)
+            logp = logps[np.searchsorted(hashes, different)][which] if len(different) else np.zeros(0)
+            n = len(s.doc_ids)
+            lang = pa.DictionaryArray.from_arrays(pa.array(s.doc_langs), pa.array(s.langs, pa.string())).cast(pa.string())
+            columns = [pa.array(s.doc_ids), lang, pa.array(np.diff(s.doc_ends, prepend=0).astype(np.int64)), pa.array(np.bincount(s.doc, minlength=n)), pa.array(np.bincount(s.doc, weights=logp, minlength=n))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "words", "grams", "total"])
+
+    return run
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, lang, words, h, n): the different trigrams of each document, and a row with a null h for each document."""
+    for s in _shards(batches):
+        order = np.lexsort((s.hash, s.doc))
+        d, h = s.doc[order], s.hash[order]
+        new = np.nonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])]))[0] if len(d) else np.zeros(0, int)
+        own, n = np.concatenate([np.arange(len(s.doc_ids)), d[new]]), np.concatenate([np.zeros(len(s.doc_ids), int), np.diff(np.append(new, len(d)))])
+        words = np.concatenate([np.diff(s.doc_ends, prepend=0), np.zeros(len(new), int)])
+        lang = pa.DictionaryArray.from_arrays(pa.array(s.doc_langs[own]), pa.array(s.langs, pa.string())).cast(pa.string())
+        hashes = pa.concat_arrays([pa.nulls(len(s.doc_ids), pa.int64()), pa.array(h[new])])
+        yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[own]), lang, pa.array(words.astype(np.int64)), hashes, pa.array(n.astype(np.int64))], names=["doc_id", "lang", "words", "h", "n"])
+
+
+def scored(texts: DataFrame, model: HashArrays, most_entries: int = 8_000_000) -> DataFrame:
+    """(doc_id, lang, words, grams, total) of coded texts: number of trigrams, and sum of their logarithms under a model
+    that holds all of them.
+
+    Arrays of at most ``most_entries`` entries of 16 bytes are broadcast and no text moves; larger ones are joined by hash."""
+    if model.entries <= most_entries:
+        found = texts.mapInArrow(_score(texts.sparkSession.sparkContext.broadcast(model.load())), _SCORED)
+    else:
+        listed = texts.mapInArrow(_listed, "doc_id long, lang string, words long, h long, n long")
+        found = listed.join(model.unpacked(), "h", "left").select("doc_id", "lang", "words", F.col("n").alias("grams"), F.coalesce(F.col("n") * F.col("logp"), F.lit(0.0)).alias("total"))
+    return found.groupBy("doc_id", "lang").agg(*[F.sum(c).alias(c) for c in ("words", "grams", "total")])
 
 
-def perplexity_bands(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least_words: int = 20, fence: float = 1.5) -> DataFrame:
+def perplexity_bands(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least_words: int = 20, fence: float = 1.5, most_entries: int = 8_000_000) -> DataFrame:
     """(doc_id, lang, words, perplexity, verdict) for every row with an id.
 
-    The model is counted over all documents; a language's band reaches ``fence`` interquartile ranges of the logarithm
-    of the perplexity below and above its quartiles. verdict: ok, low, high, or short under ``least_words`` words (with
-    a null perplexity under three words). Unknown languages are one language of their own. A repeated id is one
-    document of all its rows' trigrams.
+    The model is counted over all documents and kept in sorted hash arrays; a language's band reaches ``fence``
+    interquartile ranges of the logarithm of the perplexity below and above its quartiles. verdict: ok, low, high, or
+    short under ``least_words`` words (with a null perplexity without three words in a row). Unknown languages are one
+    language of their own. The rows of a repeated id and language are one document. ``most_entries``: see ``scored``.
     """
     own = documents.where(documents[doc_id].isNotNull()).select(documents[doc_id].cast("long").alias("doc_id"), language(documents[lang]).alias("lang"), documents[text].alias("text"))
+    texts = coded(own)
     # 64-bit hashes stand for trigrams; every trigram scored is in the model, which is of the same texts
-    model = kneser_ney(own, stored=False).select("h", "logp")
-    grams = own.mapInArrow(_trigrams(True), _COUNTED).select("doc_id", "lang", F.col("n").cast("int").alias("n"), F.xxhash64("lang", "a", "b", "c").alias("h"))
-    scored = grams.join(model, "h").groupBy("doc_id", "lang").agg(F.sum("n").alias("grams"), F.sum(F.col("n") * F.col("logp")).alias("total"))
-    scored = cut(scored.select("doc_id", "lang", (F.col("grams") + 2).cast("int").alias("words"), (-F.col("total") / F.col("grams")).alias("bits")))
-    q = scored.where(F.col("words") >= least_words).groupBy("lang").agg(F.percentile_approx("bits", F.array(F.lit(0.25), F.lit(0.75)), 1000).alias("q"))
+    each = cut(scored(texts, HashArrays(kneser_ney(texts)), most_entries).select("doc_id", "lang", F.col("words").cast("int").alias("words"), F.when(F.col("grams") > 0, -F.col("total") / F.col("grams")).alias("bits")))
+    q = each.where((F.col("words") >= least_words) & F.col("bits").isNotNull()).groupBy("lang").agg(F.percentile_approx("bits", F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias("q"))
     band = q.select("lang", (F.col("q")[0] - fence * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + fence * (F.col("q")[1] - F.col("q")[0])).alias("high"))
-    verdict = F.when(F.coalesce("words", F.lit(0)) < least_words, "short").when(F.col("bits") < F.col("low"), "low").when(F.col("bits") > F.col("high"), "high").otherwise("ok")
-    every = own.select("doc_id", "lang").distinct()
-    return every.join(scored, ["doc_id", "lang"], "left").join(F.broadcast(band), "lang", "left").select("doc_id", "lang", F.coalesce("words", F.lit(0)).alias("words"), F.exp("bits").alias("perplexity"), verdict.alias("verdict"))
+    verdict = F.when(F.col("words") < least_words, "short").when(F.col("bits") < F.col("low"), "low").when(F.col("bits") > F.col("high"), "high").otherwise("ok")
+    return each.join(F.broadcast(band), "lang", "left").select("doc_id", "lang", "words", F.exp("bits").alias("perplexity"), verdict.alias("verdict"))

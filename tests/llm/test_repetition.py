@@ -3,10 +3,11 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import xxhash
 from hypothesis import given
 from hypothesis import strategies as st
 
-from kittiwake.llm.repetition import WordHashes, exact_repeats, gram_hashes, kneser_ney, language, perplexity_bands, repeated_share
+from kittiwake.llm.repetition import HashArrays, WordHashes, coded, exact_repeats, gram_hashes, kneser_ney, language, perplexity_bands, repeated_share
 
 DOC = "doc_id long, text string, lang string, words int, h string"
 
@@ -70,20 +71,26 @@ def test_model_against_plain_counting(spark):
     texts = [[rng.choice("abcdefg") for _ in range(rng.randint(0, 40))] for _ in range(60)]
     rows = [(k, " ".join(w), "en") for k, w in enumerate(texts)]
     want = reference_model(texts)
-    h = WordHashes()
-    code = {w: int(h.of([w]).view(np.int64)[0]) for w in "abcdefg"}
+    code = {w: int(np.uint64(xxhash.xxh3_64_intdigest(w, int.from_bytes(b"en", "big"))).view(np.int64)) for w in "abcdefg"}
     docs = frame(spark, rows)
-    got = {(r.a, r.b, r.c): r.logp for r in kneser_ney(docs.select("doc_id", language(docs.lang).alias("lang"), "text")).collect()}
+    model = kneser_ney(coded(docs.select("doc_id", language(docs.lang).alias("lang"), "text")))
+    got = {(r.a, r.b, r.c): r.logp for r in model.collect()}
     assert len(got) == len(want)
     for (a, b, c), p in want.items():
         assert math.isclose(got[code[a], code[b], code[c]], p, rel_tol=1e-9)
-    scored = {r.doc_id: r for r in perplexity_bands(frame(spark, rows)).collect()}
-    for k, w in enumerate(texts):
-        grams = list(zip(w, w[1:], w[2:]))
-        if grams:
-            assert math.isclose(scored[k].perplexity, math.exp(-sum(want[g] for g in grams) / len(grams)), rel_tol=1e-9)
-        else:
-            assert scored[k].perplexity is None and scored[k].verdict == "short"
+    hashes, logps = HashArrays(model).load()
+    assert len(hashes) == len(want) and (np.diff(hashes) > 0).all() and math.isclose(logps.sum(), sum(want.values()), rel_tol=1e-9)
+    # arrays sent to the texts, and arrays joined with them
+    for most in (8_000_000, 0):
+        scored = {r.doc_id: r for r in perplexity_bands(frame(spark, rows), most_entries=most).collect()}
+        assert len(scored) == len(texts)
+        for k, w in enumerate(texts):
+            grams = list(zip(w, w[1:], w[2:]))
+            assert scored[k].words == len(w)
+            if grams:
+                assert math.isclose(scored[k].perplexity, math.exp(-sum(want[g] for g in grams) / len(grams)), rel_tol=1e-9)
+            else:
+                assert scored[k].perplexity is None and scored[k].verdict == "short"
 
 
 def test_bands(spark):
