@@ -264,20 +264,22 @@ def locate(points: DataFrame, regions: DataFrame | None = None, *, radius_m: flo
     tables give no rows. Other columns are not read.
 
     Cells hold ``cell_target`` points on average until ``max_pivots`` is reached; with more than ``cell_limit`` rows a
-    cell is cut into blocks and each pair of blocks becomes a task. Broadcast: pivots only, 24 bytes each, at most
+    cell is cut into blocks and each pair of blocks becomes a task. Pairs are sorted out again only where an id has several
+    places. Broadcast: pivots only, 24 bytes each, at most
     ``max_pivots``.
     """
     spark = points.sparkSession
     reach = float(radius_m or 0.0)
-    g = points[geo]
-    pts = points.where(points[point_id].isNotNull() & usable(g)).select(points[point_id].cast("long").alias("id"), g["_1"].cast("double").alias("lat"), g["_2"].cast("double").alias("lon"))
+    pts = _distinct_points(points, point_id, geo)
     rows = pts.count()
     if not rows:
         return spark.createDataFrame([], _FOUND)
+    again = pts.select("id").distinct().count() < rows
     pivots = sample_pivots(pts, rows, cell_target, max_pivots, 8 * reach)
     placed = pts.mapInArrow(_assign(pivots, reach), _ASSIGNED)
     if regions is not None:
         zones = regions.where(regions[region_id].isNotNull()).select(regions[region_id].cast("long").alias("id"), regions[ring].alias("ring"))
+        again = again or bool(zones.groupBy("id").count().where("count > 1").limit(1).count())
         placed = placed.unionAll(zones.mapInArrow(_assign_regions(pivots), _ASSIGNED))
     placed = cut(placed)
     # one row a cell, at most max_pivots of them
@@ -294,4 +296,23 @@ def locate(points: DataFrame, regions: DataFrame | None = None, *, radius_m: flo
     )
     n = partitions_for(spark, rows, cell_target * 8)
     found = spread.repartition(n, "cell", "b0", "b1").groupBy("cell", "b0", "b1").applyInPandas(_search(reach, radius_m is not None), _FOUND)
-    return found.distinct()
+    # two rows with different ids meet in one cell and one pair of blocks only; ids with several places may meet again
+    return found.distinct() if again else found
+
+
+def _distinct_points(points: DataFrame, point_id: str, geo: str) -> DataFrame:
+    """(id, lat, lon) of usable points, each row once."""
+    g = points[geo]
+    return cut(points.where(points[point_id].isNotNull() & usable(g)).select(points[point_id].cast("long").alias("id"), g["_1"].cast("double").alias("lat"), g["_2"].cast("double").alias("lon")).distinct())
+
+
+def locate_classes(points: DataFrame, regions: DataFrame | None = None, *, point_id: str = "id", geo: str = "geopoint", **options) -> DataFrame:
+    """The same in classes: points at one place are a class, told by its smallest id.
+
+    kind ``same``: id_b stands where its class id_a does, id_a < id_b. ``near`` and ``in``: as ``locate`` gives them, for
+    the classes alone. A place with a third of all points adds a row for each of them, not a pair for each two."""
+    pts = _distinct_points(points, point_id, geo)
+    rep = cut(pts.groupBy("lat", "lon").agg(F.min("id").alias("rep")))
+    same = pts.join(rep, ["lat", "lon"]).where(F.col("id") != F.col("rep")).select(F.lit("same").alias("kind"), F.col("rep").alias("id_a"), F.col("id").alias("id_b")).distinct()
+    at = rep.select(F.col("rep").alias(point_id), F.struct(F.col("lat").alias("_1"), F.col("lon").alias("_2")).alias(geo))
+    return same.unionAll(locate(at, regions, point_id=point_id, geo=geo, **options))

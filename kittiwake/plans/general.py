@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kittiwake.operators.incremental import new_versions_by_run
-from kittiwake.operators.proximity import locate
+from kittiwake.operators.proximity import locate, locate_classes
 from kittiwake.sources.tables import table
 
 
@@ -13,11 +13,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return locate(table(spark, d, "users"), table(spark, d, "zones"), radius_m=30.0)
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return locate_classes(table(spark, d, "users"), table(spark, d, "zones"), radius_m=30.0)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return new_versions_by_run(table(spark, d, "user_feed"), table(spark, d, "sync_runs"), seq="batch_no", key="id", version="update_time")
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p6_found": p6_found}
 
 ORACLE = {
     "p6_found": """
@@ -33,13 +37,17 @@ ORACLE = {
             SELECT 1 FROM user_feed p
             WHERE p.id = c.id AND p.batch_no <= c.lo AND p.update_time >= c.update_time)
     """,
-    "p1_found": """
+}
+
+_USABLE = """
         WITH u AS (
             SELECT id, geopoint._1 AS la, geopoint._2 AS lo FROM users
             WHERE geopoint._1 IS NOT NULL AND geopoint._2 IS NOT NULL
               AND NOT isnan(geopoint._1) AND NOT isnan(geopoint._2)
               AND abs(geopoint._1) <= 90 AND abs(geopoint._2) <= 180
               AND NOT (geopoint._1 = 0 AND geopoint._2 = 0)),
+"""
+_MET = """
         v AS (
             SELECT *, cos(radians(la)) * cos(radians(lo)) AS x, cos(radians(la)) * sin(radians(lo)) AS y,
                    sin(radians(la)) AS z FROM u),
@@ -63,5 +71,11 @@ ORACLE = {
         inside AS (
             SELECT DISTINCT 'in' AS kind, zone_id AS id_a, id AS id_b FROM crossing WHERE n % 2 = 1)
         SELECT * FROM near UNION ALL SELECT * FROM inside
-    """,
-}
+"""
+ORACLE["p1_found"] = _USABLE + _MET
+ORACLE["p1_classes"] = (
+    _USABLE.replace("u AS (", "every AS (")
+    + "u AS (SELECT min(id) AS id, la, lo FROM every GROUP BY la, lo),"
+    + _MET
+    + " UNION ALL SELECT 'same', u.id, every.id FROM every JOIN u USING (la, lo) WHERE u.id <> every.id"
+)

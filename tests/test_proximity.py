@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kittiwake.operators.proximity import VantageTree, Voronoi, great_circle, in_ring, locate, ring_ball, unit
+from kittiwake.operators.proximity import VantageTree, Voronoi, great_circle, in_ring, locate, locate_classes, ring_ball, unit
 
 POINT = "id long, geopoint struct<_1:double,_2:double>, kind string, cell int"
 ZONE = "zone_id long, ring array<struct<_1:double,_2:double>>, lat string"
@@ -62,6 +62,24 @@ def test_near_pairs_against_brute_force(spark):
         assert len(got) == len(set(got)) and set(got) == want, options
 
 
+def test_classes_stand_for_all_pairs(spark):
+    data, points = rows(spark)
+    got = [tuple(r) for r in locate_classes(points, cell_target=60, cell_limit=25).collect()]
+    assert len(got) == len(set(got)) and sum(k == "same" for k, _, _ in got) == 11
+    members = {}
+    for kind, a, b in got:
+        if kind == "same":
+            members.setdefault(a, [a]).append(b)
+    classes = [members.get(i, [i]) for i in {i for i, _ in data} - {b for k, _, b in got if k == "same"}]
+    by = {c[0]: c for c in classes}
+    pairs = {("near", min(x, y), max(x, y)) for k, a, b in got if k == "near" for x in by[a] for y in by[b]}
+    pairs |= {("near", x, y) for c in classes for x in c for y in c if x < y}
+    assert pairs == brute(data, 30.0)
+    # an id at several places is no error, and its pairs come once
+    twice = spark.createDataFrame([(1, (5.0, 5.0), "", 0), (1, (5.0, 5.00001), "", 0), (2, (5.0, 5.0), "", 0)], POINT)
+    assert [tuple(r) for r in locate(twice).collect()] == [("near", 1, 2)]
+
+
 def test_zones(spark):
     square = [(10.0 - 3e-4, 180.0 - 2e-4), (10.0 - 3e-4, 180.0 + 2e-4), (10.0 + 3e-4, 180.0 + 2e-4), (10.0 + 3e-4, 180.0 - 2e-4)]
     star = [(45.0 - 3e-4, 7.0 - 3e-4), (45.0, 7.0), (45.0 - 3e-4, 7.0 + 3e-4), (45.0 + 3e-4, 7.0 + 3e-4), (45.0 + 3e-4, 7.0 - 3e-4), (45.0 - 3e-4, 7.0 - 3e-4)]
