@@ -47,6 +47,8 @@ class SortedRuns:
 
     def __init__(self, rows: DataFrame, key: Column, id_column: str = "id"):
         keyed = rows.select(key.alias("key"), rows[id_column].cast("long").alias("id")).where(F.col("key").isNotNull())
+        # kept, so that the range sample and the sort read keys instead of making them again
+        keyed = cut(keyed)
         order = [F.col("key").asc(), F.col("id").asc_nulls_last()]
         self.spark = rows.sparkSession
         self.rows = cut(keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
@@ -170,3 +172,14 @@ def person_runs(users: DataFrame, name: str = "name", email: str = "email", id_c
     Users without a word in either field take no part. Empty tables give no rows, repeated rows are counted, very long
     texts are compared whole, other columns are not read."""
     return SortedRuns(users, person_key(users[name], users[email]), id_column)
+
+
+def collapse_people(users: DataFrame, name: str = "name", email: str = "email", id_column: str = "id") -> DataFrame:
+    """One record of every run, the row of its smallest id with all its columns, and ``copies``, the exact number of its rows.
+
+    Users without a word in name or email are in no run. Of rows that repeat the smallest id one is taken; runs whose rows
+    have no id are left out."""
+    counts = person_runs(users, name, email, id_column).counts().where(F.col("first_id").isNotNull())
+    own = users.where(users[id_column].isNotNull()).dropDuplicates([id_column])
+    own = own.select(own[id_column].cast("long").alias("first_id"), F.struct(*[own[c] for c in own.columns]).alias("__row"))
+    return own.join(counts, "first_id").select("__row.*", "copies")

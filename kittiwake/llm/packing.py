@@ -106,9 +106,11 @@ def fill_containers(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     full = items.where(F.col("tokens") == capacity)
     rest = items.where(F.col("tokens") < capacity)
     shards = max(1, math.ceil(rest.count() / items_per_shard))
-    # spread by every column, so that a repeated id cannot fill one shard
-    spread = F.pmod(F.xxhash64("doc_id", "piece", "tokens", F.monotonically_increasing_id()), F.lit(shards))
-    once = cut(rest.withColumn("shard", spread).groupBy("shard").applyInPandas(_pack_shard(capacity), _PACKED))
+    # spread by every column and the number of the copy, so that a repeated row cannot fill one shard and the result
+    # depends on the rows alone
+    counted = rest.groupBy("doc_id", "piece", "first_token", "tokens").agg(F.count("*").cast("int").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    spread = F.pmod(F.xxhash64("doc_id", "piece", "tokens", "copy"), F.lit(shards))
+    once = cut(counted.withColumn("shard", spread).drop("copies", "copy").groupBy("shard").applyInPandas(_pack_shard(capacity), _PACKED))
     good = once.where(F.col("filled") >= full_enough * capacity)
     open_ = once.where(F.col("filled") < full_enough * capacity)
     again = max(1, math.ceil(open_.count() / items_per_shard))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kittiwake.llm.addresses import link_addresses, same_building
 from kittiwake.llm.contamination import leaks
-from kittiwake.llm.copies import person_runs
+from kittiwake.llm.copies import collapse_people, person_runs
 from kittiwake.llm.disclosure import disclosing_spans, sanitise
 from kittiwake.llm.gazetteer import map_to_list
 from kittiwake.llm.packing import fill_containers
@@ -23,6 +23,10 @@ def p2_copies(spark: SparkSession, d: str) -> DataFrame:
     return person_runs(table(spark, d, "users")).counts()
 
 
+def p2_records(spark: SparkSession, d: str) -> DataFrame:
+    return collapse_people(table(spark, d, "users")).select("id", "name", "email", "copies")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     typed = map_to_list(table(spark, d, "users"), table(spark, d, "city_ref"), exact_too=False)
     return typed.select(F.col("key").alias("id"), F.coalesce("entry", F.lit(0)).cast("long").alias("city_id"))
@@ -48,6 +52,18 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return fill_containers(table(spark, d, "documents"), capacity=2048)
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """One row: documents, containers over capacity, documents that are cut though not longer, and whether little is left."""
+    rows = fill_containers(table(spark, d, "documents"), capacity=2048)
+    each = rows.groupBy("container_id").agg(F.sum("tokens").alias("filled"))
+    boxes = each.agg(F.count(F.when(F.col("filled") > 2048, 1)).alias("over"), (F.sum("filled") >= 0.98 * 2048 * (F.count("*") - 1)).alias("filled"))
+    docs = rows.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"))
+    whole = docs.agg(F.count("*").alias("documents"), F.count(F.when(F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("tokens") / 2048)), 1)).alias("cut"))
+    # one row each
+    both = whole.unionByName(boxes, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("documents", "over", "cut", "filled")])
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id")
 
@@ -68,7 +84,7 @@ def p9_perplexity(spark: SparkSession, d: str) -> DataFrame:
     return perplexity_bands(table(spark, d, "documents")).withColumn("perplexity", F.round("perplexity", 6))
 
 
-QUERIES = {"p2_found": p2_found, "p2_copies": p2_copies, "p3_found": p3_found, "p4_found": p4_found, "p4_sanitised": p4_sanitised, "p5_found": p5_found, "p5_places": p5_places, "p7_containers": p7_containers, "p8_found": p8_found, "p8_near": p8_near, "p9_found": p9_found, "p9_shares": p9_shares, "p9_perplexity": p9_perplexity}
+QUERIES = {"p2_found": p2_found, "p2_copies": p2_copies, "p2_records": p2_records, "p3_found": p3_found, "p4_found": p4_found, "p4_sanitised": p4_sanitised, "p5_found": p5_found, "p5_places": p5_places, "p7_containers": p7_containers, "p7_invariants": p7_invariants, "p8_found": p8_found, "p8_near": p8_near, "p9_found": p9_found, "p9_shares": p9_shares, "p9_perplexity": p9_perplexity}
 
 _PERSON = r"""
     k AS (SELECT id, array_to_string(list_sort(regexp_extract_all(lower(name), '[\p{L}\p{N}]+')), ' ') AS n,
@@ -79,6 +95,8 @@ _PERSON = r"""
 ORACLE = {
     "p2_found": f"WITH {_PERSON} SELECT first_id, id FROM r WHERE id <> first_id",
     "p2_copies": f"WITH {_PERSON} SELECT DISTINCT first_id, copies FROM r",
+    "p2_records": f"WITH {_PERSON} SELECT id, name, email, copies FROM r JOIN users USING (id) WHERE id = first_id",
+    "p7_invariants": "SELECT count(*) AS documents, 0 AS over, 0 AS cut, true AS filled FROM documents",
     "p8_found": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
         i AS (SELECT item_id, regexp_extract_all(lower(prompt), '[\p{L}\p{N}]+') AS w FROM eval_items),

@@ -2,7 +2,7 @@ import random
 import re
 from collections import defaultdict
 
-from kittiwake.llm.copies import SortedRuns, person_runs
+from kittiwake.llm.copies import SortedRuns, collapse_people, person_runs
 
 USER = "id long, name string, email string, key string, part int, first_id string"
 
@@ -64,3 +64,15 @@ def test_runs_over_several_partitions(spark):
 def test_empty(spark):
     runs = person_runs(frame(spark, []))
     assert runs.members().count() == 0 and runs.counts().count() == 0
+
+
+def test_one_record_of_each(spark):
+    rows = sample()
+    groups = defaultdict(list)
+    for i, n, e in rows:
+        if (k := key(n, e)) is not None:
+            groups[k].append(i)
+    got = {r.id: (r.copies, r.name, r.key) for r in collapse_people(frame(spark, rows)).collect()}
+    first = {min(x for x in g if x is not None): len(g) for g in groups.values()}
+    assert {i: n for i, (n, _, _) in got.items()} == first and all(name == dict((i, n) for i, n, _ in rows)[i] and k == "clash" for i, (_, name, k) in got.items())
+    assert collapse_people(frame(spark, [])).count() == 0
