@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kittiwake.llm.addresses import STREET_TYPES
@@ -48,7 +48,7 @@ _ZIP = r"[0-9]{5}(?:-[0-9]{4})?"
 _TOKEN = re.compile(_WORD)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
-_SPAN = "id long, start int, stop int, kind string, found string, cue string, terms array<string>"
+_SPAN = "id long, k binary, start int, stop int, kind string, found string, cue string, terms array<string>"
 
 
 def _form(text: str) -> str:
@@ -87,7 +87,8 @@ def propose(text: str, common: frozenset[str], cities: frozenset[str], longest:
     spans: list[tuple[int, int, str, list[str]]] = []
     taken: list[tuple[int, int]] = []
     for m in _EMAIL.finditer(text) if _AT.search(text) else ():
-        spans.append((m.start(), m.end(), "email", [_LETTERS.findall(m.group().lower())[-1]] if _LETTERS.search(m.group()) else []))
+        # the words of the local part and of the domain, without those that spell out signs
+        spans.append((m.start(), m.end(), "email", [x for x in _LETTERS.findall(m.group().lower()) if x not in ("at", "dot")]))
         taken.append(m.span())
     free = lambda a, b: all(b <= x or a >= y for x, y in taken)
     for pattern in (_HOUSE_FIRST, _HOUSE_LAST):
@@ -113,7 +114,7 @@ def propose(text: str, common: frozenset[str], cities: frozenset[str], longest:
         if sum(c.isdigit() for c in m.group()) >= 6 and free(*m.span()):
             spans.append((m.start(), m.end(), "number", [_form(m.group())]))
     # 0 for an ordinary word, 1 for a rare one, 2 for a letter on its own
-    w, role = [], []
+    w, role, title = [], [], []
     for m in _TOKEN.finditer(text):
         x = m.group().lower()
         if len(x) == 1:
@@ -121,12 +122,17 @@ def propose(text: str, common: frozenset[str], cities: frozenset[str], longest:
         else:
             r = int(x not in common and (x.isalpha() or any(p not in common for p in _LETTERS.findall(x) if len(p) > 1)))
         w.append(m)
-        role.append(r if not r or not taken or free(*m.span()) else 0)
+        open_ = not taken or free(*m.span())
+        role.append(r if open_ else 0)
+        # an ordinary word may still be part of what looks like a name, if all of it is written with capitals
+        title.append(r or int(open_ and x[0] != m.group()[0]))
     for k in range(len(w) - 1):
-        if not role[k] or not role[k + 1]:
+        if not title[k] or not title[k + 1]:
             continue
         for n in (2, 3):
             roles = tuple(role[k : k + n])
+            if 0 in roles and all(x.group()[0].isupper() for x in w[k : k + n]):
+                roles = tuple(title[k : k + n])
             # given and family name, an initial and a name, or a middle initial between two names
             if len(roles) < n or roles not in _NAMES:
                 continue
@@ -146,31 +152,33 @@ def _extract(shared):
         common, cities, longest = shared.value
         for b in batches:
             out = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, k, text in zip(*(c.to_pylist() for c in b.columns)):
                 for start, stop, kind, terms in propose(text, common, cities, longest):
                     cue = _cue(text, start)
                     if kind == "number":
                         # what stands before an earlier number belongs to that one
                         near = _LETTERS.findall(re.split("[0-9]", text[max(0, start - 30) : start].lower())[-1])[-3:]
-                        cue = next((k for x in reversed(near) for k, labels in LABELS.items() if x in labels), "")
-                    out.append((i, start, stop, kind, text[start:stop], cue, terms))
-            cols = list(zip(*out)) or [()] * 7
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "start", "stop", "kind", "found", "cue", "terms"])
+                        cue = next((label for x in reversed(near) for label, known in LABELS.items() if x in known), "")
+                    out.append((i, k, start, stop, kind, text[start:stop], cue, terms))
+            cols = list(zip(*out)) or [()] * 8
+            types = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "k", "start", "stop", "kind", "found", "cue", "terms"])
 
     return run
 
 
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apart(spans: list[dict]) -> list[dict]:
     """Of overlapping spans the first by kind, then the longer at the same start, then the leftmost."""
+    kept: list[dict] = []
+    for s in sorted(spans, key=lambda s: (PRIORITY.index(s["kind"]), s["start"], -s["stop"])):
+        if all(s["stop"] <= x["start"] or s["start"] >= x["stop"] for x in kept):
+            kept.append(s)
+    return kept
+
+
+def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = []
-        for i, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            taken: list[tuple[int, int]] = []
-            for s in sorted(spans, key=lambda s: (PRIORITY.index(s["kind"]), s["start"], -s["stop"])):
-                if all(s["stop"] <= x or s["start"] >= y for x, y in taken):
-                    taken.append((s["start"], s["stop"]))
-                    out.append((i, s["start"], s["stop"], s["kind"], s["found"]))
+        out = [(i, *(s[k] for k in ("start", "stop", "kind", "found"))) for i, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s in _apart(spans)]
         cols = list(zip(*out)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()))], names=["id", "start", "stop", "kind", "found"])
 
@@ -182,34 +190,25 @@ def word_counts(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
     return each.groupBy("word").agg(*[F.count(F.when(F.col("f") == label, 1)).alias(f"n_{label}") for label in fields])
 
 
-def disclosing_spans(users: DataFrame, cities: DataFrame, *, id_column: str = "id", text: str = "description", name: str = "name", email: str = "email", street: str = "street", city: str = "city", city_name: str = "city_name", other_name: str = "alt_name", threshold_bits: float = 1.0, common_share: float = 1e-5, common_least: int = 20, cue_share: float = 0.2, name_cue_share: float = 0.5, cue_least: int = 5, form_share: float = 0.1, max_cities: int = 100_000) -> DataFrame:
-    """(id, start, stop, kind, found): the spans of ``text`` that disclose personal information, not overlapping.
-
-    kind is email, phone, idno, address or person; start and stop count characters. ``threshold_bits``: least logarithm
-    of a term's rate in the protected field over its rate in the text. ``cue_share``, ``name_cue_share``: least share of
-    disclosing spans after a word before others after it are taken too. Rows without id or text have no span; an id that
-    is repeated gets the spans of its rows together; texts are read whole; empty tables give no rows; other columns are
-    not read.
-
-    Counts cover all rows. Broadcast: words with at least ``common_share`` of all words in the text, hence at most
-    1 / common_share of them, and the names of ``cities``, refused beyond ``max_cities``.
-    """
+def _decided(users: DataFrame, cities: DataFrame, *, id_column: str = "id", text: str = "description", name: str = "name", email: str = "email", street: str = "street", city: str = "city", city_name: str = "city_name", other_name: str = "alt_name", threshold_bits: float = 1.0, common_share: float = 1e-5, common_least: int = 20, cue_share: float = 0.2, name_cue_share: float = 0.5, cue_least: int = 5, form_share: float = 0.1, max_cities: int = 100_000) -> DataFrame:
+    """(id, k, start, stop, kind, found): spans that disclose, which may still overlap; k is the digest of the text."""
     spark = users.sparkSession
     fields = {"text": text, "name": name, "email": email, "street": street, "city": city}
     counts = cut(word_counts(users, fields))
     total = counts.agg(*[F.sum(f"n_{k}").alias(k) for k in fields]).first()
     n = {k: float(total[k] or 1) for k in fields}
-    # a word that the protected field never holds discloses nothing, however short the field is
+    # a term's co-occurrence with a protected field, against its rate in the text; one that the field never holds discloses
+    # nothing, however short the field is
     bits = {k: F.when(F.col(f"n_{k}") > 0, F.log2((F.col(f"n_{k}") / n[k]) / ((F.col("n_text") + 0.5) / n["text"]))).otherwise(F.lit(-99.0)) for k in ("name", "email", "street", "city")}
-    usual = counts.where((F.col("n_text") >= max(common_least, common_share * n["text"])) & (bits["name"] < threshold_bits))
-    common = frozenset(r[0] for r in usual.select("word").collect())
+    often = counts.where((F.col("n_text") >= max(common_least, common_share * n["text"])) & (bits["name"] < threshold_bits))
+    common = frozenset(r[0] for r in often.select("word").collect())
     rows = cities.select(city_name, other_name).limit(max_cities + 1).collect()
     if len(rows) > max_cities:
         raise ValueError(f"more than {max_cities} cities")
     listed = [w for r in rows for w in r if w]
     longest = max((len(w.split()) for w in listed), default=1)
     shared = spark.sparkContext.broadcast((common, frozenset("".join(words(w)) for w in listed), longest))
-    texts = users.where(users[id_column].isNotNull() & (users[text] != "")).select(users[id_column].cast("long").alias("id"), users[text].alias("text"))
+    texts = users.where(users[text] != "").select(users[id_column].cast("long").alias("id"), _digest(users[text]).alias("k"), users[text].alias("text"))
     spans = cut(texts.mapInArrow(_extract(shared), _SPAN))
 
     numbers = spans.where(F.col("kind") == "number").withColumn("form", F.col("terms")[0])
@@ -218,38 +217,63 @@ def disclosing_spans(users: DataFrame, cities: DataFrame, *, id_column: str = "i
     told = forms.where(best >= form_share * F.col("n")).select("form", F.when(F.col("idno") == best, "idno").otherwise("phone").alias("told"))
     # a label of its own decides; the form only tells numbers without one
     own = F.when(F.col("cue") != "", F.col("cue"))
-    numbers = numbers.join(told, "form", "left").withColumn("kind", F.coalesce(own, "told")).where(F.col("kind").isNotNull()).select("id", "start", "stop", "kind", "found")
+    numbers = numbers.join(told, "form", "left").withColumn("kind", F.coalesce(own, "told")).where(F.col("kind").isNotNull()).select("id", "k", "start", "stop", "kind", "found")
 
-    span = ["id", "start", "stop", "kind", "found", "cue"]
+    span = ["id", "k", "start", "stop", "kind", "found", "cue"]
     term = F.col("kind")
     score = F.when(term == "person", bits["name"]).when(term == "email", bits["email"]).otherwise(F.greatest(bits["street"], bits["city"]))
     scored = spans.where(F.col("kind") != "number").select(*span, F.explode_outer("terms").alias("word")).join(counts, "word", "left").withColumn("bits", score)
-    scored = scored.groupBy(*span).agg(F.min(F.coalesce("bits", F.lit(-99.0))).alias("low"), F.max(F.coalesce("bits", F.lit(-99.0))).alias("high"))
+    # a word that the text holds often and that still discloses nothing is an ordinary one, and known to be
+    usual = (F.col("n_text") >= common_least) & (bits["name"] < threshold_bits)
+    scored = scored.groupBy(*span).agg(F.min(F.coalesce("bits", F.lit(-99.0))).alias("low"), F.max(F.coalesce("bits", F.lit(-99.0))).alias("high"), F.max(F.coalesce(usual, F.lit(False))).alias("usual"))
     scored = scored.withColumn("shown", F.when(term == "person", F.col("low")).otherwise(F.col("high")) >= threshold_bits)
     cues = scored.groupBy("kind", "cue").agg(F.count("*").alias("n"), F.count(F.when(F.col("shown"), 1)).alias("n_shown"))
     cues = cues.where((F.col("n") >= cue_least) & (F.col("n_shown") >= F.when(F.col("kind") == "person", name_cue_share).otherwise(cue_share) * F.col("n"))).select("kind", "cue", F.lit(True).alias("leads"))
-    capital = (term != "person") | F.col("found").rlike(r"^\p{Lu}.*[ ,.]\p{Lu}")
-    worded = scored.join(cues, ["kind", "cue"], "left").where(F.col("shown") | (F.col("leads") & capital)).select("id", "start", "stop", "kind", "found")
-    by_id = numbers.unionByName(worded).groupBy("id").agg(F.collect_list(F.struct("start", "stop", "kind", "found")).alias("spans"))
-    return by_id.mapInArrow(_resolve, "id long, start int, stop int, kind string, found string")
+    named = (term != "person") | (F.col("found").rlike(r"^\p{Lu}.*[ ,.]\p{Lu}") & ~F.col("usual"))
+    worded = scored.join(cues, ["kind", "cue"], "left").where(F.col("shown") | (F.col("leads") & named)).select("id", "k", "start", "stop", "kind", "found")
+    return numbers.unionByName(worded)
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def disclosing_spans(users: DataFrame, cities: DataFrame, **options) -> DataFrame:
+    """(id, start, stop, kind, found): the spans of ``text`` that disclose personal information, not overlapping.
+
+    kind is email, phone, idno, address or person; start and stop count characters. ``threshold_bits``: least logarithm
+    of a term's rate in the protected field over its rate in the text: of all parts of a person's name, of any part of an
+    email (local part or domain), of the type or place of an address. ``common_least``: so often a word must stand in the
+    text to be known as ordinary. ``cue_share``, ``name_cue_share``: least share of disclosing spans after a word before
+    others after it are taken too, names only if none of their words is known as ordinary. Rows without id or text have no
+    span; each row of a repeated id is judged by its own text; texts are read whole; empty tables give no rows; other
+    columns are not read. For the other options see ``_decided``.
+
+    Counts cover all rows. Broadcast: words with at least ``common_share`` of all words in the text, hence at most
+    1 / common_share of them, which lower-case names, streets and their ends are told by, and the names of ``cities``,
+    refused beyond ``max_cities``.
+    """
+    spans = _decided(users, cities, **options).where(F.col("id").isNotNull())
+    # equal rows have equal spans, so that a set is no larger than one text's
+    by_text = spans.groupBy("id", "k").agg(F.collect_set(F.struct("start", "stop", "kind", "found")).alias("spans")).select("id", "spans")
+    return by_text.mapInArrow(_resolve, "id long, start int, stop int, kind string, found string")
 
 
 def sanitise(users: DataFrame, cities: DataFrame, *, id_column: str = "id", text: str = "description", **options) -> DataFrame:
-    """(id, text): each text with its disclosing spans replaced by typed placeholders; see ``disclosing_spans``.
+    """(id, text): each text with its disclosing spans generalised to typed placeholders; see ``disclosing_spans``.
 
-    Texts without such spans, empty and null ones come out as they are; an id that is repeated with different texts is
-    refused by neither operator, but its spans are then applied where their characters are found."""
+    Every row comes out, also those without id, by the spans of its own text. Texts without such spans, empty and null ones
+    are as they were."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                for s in sorted(spans or [], key=lambda s: -s["start"]):
-                    if t[s["start"] : s["stop"]] == s["found"]:
-                        t = t[: s["start"]] + PLACEHOLDERS[s["kind"]] + t[s["stop"] :]
+                for s in sorted(_apart(spans or []), key=lambda s: -s["start"]):
+                    t = t[: s["start"]] + PLACEHOLDERS[s["kind"]] + t[s["stop"] :]
                 out.append(t)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["id", "text"])
 
-    spans = disclosing_spans(users, cities, id_column=id_column, text=text, **options).groupBy("id").agg(F.collect_set(F.struct("start", "stop", "kind", "found")).alias("spans"))
-    own = users.select(users[id_column].cast("long").alias("id"), users[text].alias("text"))
-    return own.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(run, "id long, text string")
+    spans = _decided(users, cities, id_column=id_column, text=text, **options).groupBy("k").agg(F.collect_set(F.struct("start", "stop", "kind", "found")).alias("spans"))
+    own = users.select(users[id_column].cast("long").alias("id"), users[text].alias("text"), _digest(users[text]).alias("k"))
+    return own.join(spans, "k", "left").select("id", "text", "spans").mapInArrow(run, "id long, text string")

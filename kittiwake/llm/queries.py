@@ -40,6 +40,13 @@ def p4_sanitised(spark: SparkSession, d: str) -> DataFrame:
     return sanitise(table(spark, d, "users"), table(spark, d, "city_ref"))
 
 
+def p4_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """One row: texts that came out, of these empty or missing ones, and those that still hold an address of the plain form."""
+    clean = sanitise(table(spark, d, "users"), table(spark, d, "city_ref"))
+    left = F.col("text").rlike(r"(?i)[a-z0-9]@[a-z0-9\-.]+\.(test|example|invalid)")
+    return clean.agg(F.count("*").alias("rows"), F.count(F.when(F.coalesce("text", F.lit("")) == "", 1)).alias("empty"), F.count(F.when(left, 1)).alias("emails_left"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return same_building(table(spark, d, "users"), table(spark, d, "city_ref"))
 
@@ -84,7 +91,7 @@ def p9_perplexity(spark: SparkSession, d: str) -> DataFrame:
     return perplexity_bands(table(spark, d, "documents")).withColumn("perplexity", F.round("perplexity", 6))
 
 
-QUERIES = {"p2_found": p2_found, "p2_copies": p2_copies, "p2_records": p2_records, "p3_found": p3_found, "p4_found": p4_found, "p4_sanitised": p4_sanitised, "p5_found": p5_found, "p5_places": p5_places, "p7_containers": p7_containers, "p7_invariants": p7_invariants, "p8_found": p8_found, "p8_near": p8_near, "p9_found": p9_found, "p9_shares": p9_shares, "p9_perplexity": p9_perplexity}
+QUERIES = {"p2_found": p2_found, "p2_copies": p2_copies, "p2_records": p2_records, "p3_found": p3_found, "p4_found": p4_found, "p4_sanitised": p4_sanitised, "p4_invariants": p4_invariants, "p5_found": p5_found, "p5_places": p5_places, "p7_containers": p7_containers, "p7_invariants": p7_invariants, "p8_found": p8_found, "p8_near": p8_near, "p9_found": p9_found, "p9_shares": p9_shares, "p9_perplexity": p9_perplexity}
 
 _PERSON = r"""
     k AS (SELECT id, array_to_string(list_sort(regexp_extract_all(lower(name), '[\p{L}\p{N}]+')), ' ') AS n,
@@ -96,6 +103,7 @@ ORACLE = {
     "p2_found": f"WITH {_PERSON} SELECT first_id, id FROM r WHERE id <> first_id",
     "p2_copies": f"WITH {_PERSON} SELECT DISTINCT first_id, copies FROM r",
     "p2_records": f"WITH {_PERSON} SELECT id, name, email, copies FROM r JOIN users USING (id) WHERE id = first_id",
+    "p4_invariants": "SELECT count(*) AS rows, count(*) FILTER (coalesce(description, '') = '') AS empty, 0 AS emails_left FROM users",
     "p7_invariants": "SELECT count(*) AS documents, 0 AS over, 0 AS cut, true AS filled FROM documents",
     "p8_found": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),

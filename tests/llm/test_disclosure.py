@@ -45,6 +45,7 @@ def test_text_around_stays(spark):
     clean = {r.id: r.text for r in sanitise(users, ref).collect() if r.id is not None}
     assert clean[0] == "Reach me at [EMAIL], please." and clean[4] == "Ring [PHONE] or knock." and clean[14] == CASES[14][0]
     assert clean[8] == "Lives at [ADDRESS]." and clean[10] == "Works with Dr. [PERSON] on codecs." and clean[6] == "National ID [ID]. Order 49-4212-98 is closed."
+    assert [r.text for r in sanitise(users, ref).where("id IS NULL").collect()] == ["Reach me at [EMAIL]"]
     assert clean[200] is None and clean[201] == "" and clean[300] == "plain word " * 20000
 
 
@@ -61,3 +62,31 @@ def test_a_label_decides_before_the_form(spark):
     users = spark.createDataFrame([(k, "Jion Drioth", "u@peik.example", "12 Ranbek Square", "Brethkei", x, 1, "") for k, x in enumerate(texts)], USER)
     got = {r.id: (r.kind, r.found) for r in disclosing_spans(users, ref).collect()}
     assert got == {60: ("idno", "123456789"), 61: ("phone", "223456789"), **{62 + k: ("phone", f"55-{1000 + k}") for k in range(6)}, 68: ("idno", "55-7777"), 69: ("phone", "55-8888")}
+
+
+def test_the_measure_decides_what_looks_like_a_name(spark):
+    _, ref = frame(spark)
+    texts = [f"Works with {who} on codecs." for who in ("Jion Drioth", "Skekpaeth Jion", "Quick Ledger", "Quick Ledger", "Index Doctor", "Index Doctor") for _ in range(12)]
+    texts += ["Works with Plarn Oxtrui on codecs.", "Works with Quick Oxtrui on codecs."]
+    users = spark.createDataFrame([(k, "Jion Drioth" if k % 2 else "Skekpaeth Jion", "u@peik.example", "12 Ranbek Square", "Brethkei", x, 1, "") for k, x in enumerate(texts)], USER)
+    got = {r.id: r.found for r in disclosing_spans(users, ref, name_cue_share=0.3).collect()}
+    # words that are never in names are ordinary where they are frequent, and are taken after a telling word where not
+    assert set(got.values()) == {"Jion Drioth", "Skekpaeth Jion", "Plarn Oxtrui"} and len(got) == 25
+    every = {r.found for r in disclosing_spans(users, ref, threshold_bits=-100.0).collect()}
+    assert {"Quick Ledger", "Index Doctor"} <= every
+    none = disclosing_spans(users, ref, threshold_bits=50.0).collect()
+    assert none == []
+
+
+def test_emails_are_weighed_by_their_own_parts(spark):
+    _, ref = frame(spark)
+    texts = ["Reach me at skik@peik.example please."] * 6 + ["Load is p99@load.stats today."] * 30
+    users = spark.createDataFrame([(k, "Jion Drioth", f"skik{k}@peik.example", "12 Ranbek Square", "Brethkei", x, 1, "") for k, x in enumerate(texts)], USER)
+    assert {r.found for r in disclosing_spans(users, ref).collect()} == {"skik@peik.example"}
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    users, ref = frame(spark)
+    two = [(900, "Jion Drioth", "", "", "", x, 1, "") for x in ("Ring (609) 555-0190 or knock.", "Works with Dr. Jion Drioth, ring (609) 555-0191 now.", "Works with Dr. Jion Drioth, ring (609) 555-0191 now.")]
+    clean = [r.text for r in sanitise(users.unionAll(spark.createDataFrame(two, USER)), ref).where("id = 900").collect()]
+    assert sorted(clean) == ["Ring [PHONE] or knock.", "Works with Dr. [PERSON], ring [PHONE] now.", "Works with Dr. [PERSON], ring [PHONE] now."]
