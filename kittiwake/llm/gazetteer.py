@@ -7,6 +7,7 @@ by weighted Damerau-Levenshtein distance, then by how often the entry is written
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -18,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Parts of place names and the ways they are shortened.
+from kittiwake.runtime import cut
+
+# Parts of place names and the ways they are shortened; a caller with another list gives their own.
 AFFIXES = {
     "great": ("gt", "grt", "gr"),
     "lower": ("lwr", "low", "lr"),
@@ -40,10 +43,8 @@ AFFIXES = {
     "harbor": ("harbour", "hbr", "harb"),
     "bay": ("by",),
 }
-# Words around a name that say nothing about which place it is.
+# Words around a name that say nothing about which place it is; a caller may give others.
 NOISE = ("city", "of", "near", "downtown", "centre", "center", "central", "town", "area", "the", "nr", "outside", "around")
-# Answers that name no place.
-EMPTY = ("unknown", "na", "none", "null", "tbd", "test", "xxx", "asdf", "qwerty", "home", "remote", "everywhere", "nowhere", "my city", "on the road", "not telling", "see above", "same as last time", "other")
 # Rows of a keyboard, for substitutions of neighbouring keys.
 KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 
@@ -88,19 +89,31 @@ def words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", bare(text))
 
 
-def written_forms(name: str) -> set[str]:
+def written_forms(name: str, affixes: dict[str, tuple[str, ...]] = AFFIXES) -> set[str]:
     """Ways to write a name without blanks: as it is, and with its first or last word shortened."""
     w = words(name)
     found = {"".join(w)}
     if len(w) > 1:
-        found |= {"".join([s, *w[1:]]) for s in AFFIXES.get(w[0], ())}
-        found |= {"".join([*w[:-1], s]) for s in AFFIXES.get(w[-1], ())}
+        found |= {"".join([s, *w[1:]]) for s in affixes.get(w[0], ())}
+        found |= {"".join([*w[:-1], s]) for s in affixes.get(w[-1], ())}
     return found - {""}
 
 
+#: Forms beyond this length are not met by their deletions but by parts of them, which take no more room than the form.
+LONG_FORM = 40
+
+
+def parts(form: str, n: int) -> list[tuple[int, str]]:
+    """``form`` in n parts with their starts. An edit, a swap of neighbours included, changes at most two of them, so that
+    of 2 k + 1 parts one is whole after k edits, no more than k letters away from its place."""
+    at = [len(form) * k // n for k in range(n + 1)]
+    return [(a, form[a:b]) for a, b in zip(at, at[1:])]
+
+
 @dataclass
 class Dictionary:
-    """Deletion variants of all written forms; ``forms`` maps a form to the entries it may stand for."""
+    """Deletion variants of all written forms; ``forms`` maps a form to the entries it may stand for, ``pieces`` a part of a
+    long form and its start to the form."""
 
     max_edits: int
     long_form: int
@@ -109,35 +122,44 @@ class Dictionary:
     forms: dict[str, tuple[int, ...]] = field(default_factory=dict)
     variants: dict[str, tuple[str, ...]] = field(default_factory=dict)
     names: dict[str, int] = field(default_factory=dict)
+    pieces: dict[tuple[int, str], tuple[str, ...]] = field(default_factory=dict)
+    noise: tuple[str, ...] = NOISE
 
     @classmethod
-    def of(cls, entries: Iterable[tuple[int, str | None, str | None, str | None]], weight: dict[int, int], max_edits: int = 2, long_form: int = 12, codes: Iterable[str] = ()) -> Dictionary:
+    def of(cls, entries: Iterable[tuple[int, str | None, str | None, str | None]], weight: dict[int, int], max_edits: int = 2, long_form: int = 12, codes: Iterable[str] = (), affixes: dict[str, tuple[str, ...]] = AFFIXES, noise: tuple[str, ...] = NOISE) -> Dictionary:
         """entries: (id, name, other name, region code); codes: region codes of entries that are not here."""
         entries = [e for e in entries if e[0] is not None]
         forms: dict[str, set[int]] = defaultdict(set)
         for i, name, other, _ in entries:
             for n in (name, other):
-                for f in written_forms(n) if n else ():
+                for f in written_forms(n, affixes) if n else ():
                     forms[f].add(i)
         variants: dict[str, set[str]] = defaultdict(set)
+        pieces: dict[tuple[int, str], set[str]] = defaultdict(set)
         for f in forms:
+            if len(f) > LONG_FORM:
+                for p in parts(f, 2 * max_edits + 1):
+                    pieces[p].add(f)
+                continue
             for v in deletes(f, max_edits if len(f) >= long_form else 1):
                 variants[v].add(f)
         codes = frozenset(bare(c) for c in (*codes, *(e[-1] for e in entries)) if c)
         names = {n: i for i, n, *_ in sorted(entries, key=lambda e: -e[0]) if n}
-        return cls(max_edits, long_form, codes, weight, {k: tuple(sorted(v)) for k, v in forms.items()}, {k: tuple(sorted(v)) for k, v in variants.items()}, names)
+        return cls(max_edits, long_form, codes, weight, {k: tuple(sorted(v)) for k, v in forms.items()}, {k: tuple(sorted(v)) for k, v in variants.items()}, names, {k: tuple(sorted(v)) for k, v in pieces.items()}, noise)
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.forms), default=0)
+        # how long parts are, and where they start
+        self.part_sizes = sorted({(a, len(x)) for a, x in self.pieces})
 
     def readings(self, typed: str) -> list[str]:
         """What may be the name in a typed value, without blanks: all its words, and those without numbers, region code
         and words of ``NOISE``."""
         w = [x for x in words(typed) if not any(c.isdigit() for c in x)]
-        if not w or " ".join(w) in EMPTY or "".join(w) in EMPTY:
+        if not w:
             return []
         no_code = w[:-1] if len(w) > 1 and w[-1] in self.codes else w
-        plain = [x for x in no_code if x not in NOISE]
+        plain = [x for x in no_code if x not in self.noise]
         return list(dict.fromkeys("".join(x) for x in (w, no_code, plain) if x))
 
     def best(self, typed: str) -> tuple[int, float] | None:
@@ -156,7 +178,9 @@ class Dictionary:
             most = self.max_edits if len(r) >= self.long_form else 1
             if len(r) > self.longest + most:
                 continue
-            near = {f for v in deletes(r, most) for f in self.variants.get(v, ())}
+            near = {f for v in deletes(r, most) for f in self.variants.get(v, ())} if len(r) <= LONG_FORM + most else set()
+            if len(r) >= LONG_FORM - most:
+                near |= {f for a, n in self.part_sizes for at in range(max(0, a - most), a + most + 1) for f in self.pieces.get((a, r[at : at + n]), ())}
             for f in near:
                 d = weighted_distance(r, f, min(most, self.max_edits if len(f) >= self.long_form else 1))
                 if d < float("inf"):
@@ -187,7 +211,13 @@ def matcher(shared, column: int = 1):
     return run
 
 
-def map_to_list(rows: DataFrame, entries: DataFrame, *, key: str = "id", value: str = "city", entry_id: str = "city_id", name: str = "city_name", other: str = "alt_name", code: str = "admin_code", max_edits: int = 2, exact_too: bool = True, block: int = 20_000) -> DataFrame:
+def _room(letters: int, max_edits: int) -> int:
+    """Bytes that a name takes in a dictionary, about: its deletions, or its parts, with what holds them."""
+    each = letters + 120
+    return 2 * each * (sum(math.comb(letters, k) for k in range(max_edits + 1)) if letters <= LONG_FORM else 2 * max_edits + 1)
+
+
+def map_to_list(rows: DataFrame, entries: DataFrame, *, key: str = "id", value: str = "city", entry_id: str = "city_id", name: str = "city_name", other: str = "alt_name", code: str = "admin_code", max_edits: int = 2, exact_too: bool = True, block: int = 20_000, block_bytes: int = 64 << 20, affixes: dict[str, tuple[str, ...]] = AFFIXES, noise: tuple[str, ...] = NOISE) -> DataFrame:
     """(key, value, entry, distance) for every row whose value is neither null nor blank; without ``exact_too`` those
     that are exactly a name are left out.
 
@@ -197,9 +227,10 @@ def map_to_list(rows: DataFrame, entries: DataFrame, *, key: str = "id", value:
     are left out, repeated rows are kept, empty tables give no rows, other columns are not read; very long texts are
     read whole. A list in several blocks gives the same rows as in one.
 
-    The dictionary is broadcast: at most ``block`` entries at once, each of which gives a few hundred short strings. A
-    longer list is taken block by block and the best hit of each distinct value is kept; its region codes are then
-    collected.
+    The dictionary is broadcast: at most ``block`` entries at once and, by an estimate of what their deletions take, at most
+    ``block_bytes`` (a single larger entry alone). A longer list is taken block by block, each released when it is looked
+    up, and the best hit of each distinct value is kept; its region codes are then collected. ``affixes``: parts of names
+    and the ways they are shortened; ``noise``: words that are not part of a name.
     """
     spark = rows.sparkSession
     typed = rows.select(rows[key].cast("long").alias("key"), rows[value].alias("value")).where(F.col("key").isNotNull() & (F.length(F.regexp_replace("value", r"[\s\p{Z}\x{200b}]+", "")) > 0))
@@ -207,22 +238,29 @@ def map_to_list(rows: DataFrame, entries: DataFrame, *, key: str = "id", value:
     # the list is read to the driver a block at a time; its frequencies are one number an entry
     spelled = typed.groupBy("value").agg(F.count("*").alias("f")).withColumnRenamed("value", "n")
     counted = listed.join(spelled, "n", "left").select("i", "n", "o", "c", "f").orderBy("i").toLocalIterator()
-    results, part, codes = [], [], []
+    results, part, codes, held = [], [], [], 0
     rank = ["distance", "reading", "seldom", "entry"]
 
     def lookup(part):
-        d = Dictionary.of([tuple(r)[:4] for r in part], {r["i"]: r["f"] or 0 for r in part}, max_edits, codes=codes)
-        run, found = matcher(spark.sparkContext.broadcast(d), 1 if single else 0), ", distance double, reading long, seldom long, entry long"
-        return (typed if single else typed.select("value").distinct()).mapInArrow(run, ("key long, value string" if single else "value string") + found)
+        d = Dictionary.of([tuple(r)[:4] for r in part], {r["i"]: r["f"] or 0 for r in part}, max_edits, codes=codes, affixes=affixes, noise=noise)
+        shared, found = spark.sparkContext.broadcast(d), ", distance double, reading long, seldom long, entry long"
+        if single:
+            return typed.mapInArrow(matcher(shared), "key long, value string" + found)
+        done = cut(values.mapInArrow(matcher(shared, 0), "value string" + found))
+        shared.unpersist()
+        return done
 
     single = True
     for r in counted:
-        if len(part) == block:
+        size = sum(_room(len(n), max_edits) for n in (r["n"], r["o"]) if n)
+        if part and (len(part) == block or held + size > block_bytes):
             if single:
                 single, codes = False, [c[0] for c in listed.select("c").distinct().collect()]
+                values = cut(typed.select("value").distinct())
             results.append(lookup(part))
-            part = []
+            part, held = [], 0
         part.append(r)
+        held += size
     results.append(lookup(part))
     best = results[0]
     if not single:

@@ -39,6 +39,23 @@ def test_variants():
         assert d.best(v) is None, v
 
 
+@given(st.text("abcd", min_size=36, max_size=70), st.lists(st.tuples(st.sampled_from("diws"), st.integers(0, 99), st.sampled_from("abcd")), max_size=2))
+def test_long_names_are_met_by_their_parts(name, edits):
+    typed = list(name)
+    for kind, at, letter in edits:
+        k = at % (len(typed) - 1)
+        typed[k : k + (2 if kind == "s" else 0 if kind == "i" else 1)] = {"d": [], "i": [letter], "w": [letter], "s": typed[k : k + 2][::-1]}[kind]
+    d = Dictionary.of([(1, name, None, None)], {})
+    hit = d.best("".join(typed))
+    assert hit and hit[0] == 1 and hit[1] <= len(edits)
+    assert len(d.variants) + len(d.pieces) < 2000
+
+
+def test_lists_of_the_caller():
+    d = Dictionary.of([(1, "Bad Homburg", None, None)], {}, affixes={"bad": ("b",)}, noise=("kreis",))
+    assert d.best("B. Homburg, Kreis") == (1, 0.0) and d.best("city of Bad Homburg") is None
+
+
 def test_operator(spark):
     typed = ["Gerdrioth", "gerdrioth", "Gedrioth", "nowhere at all", "  ", "", None, "　", "x" * 100000, "Gedrioth"]
     rows = spark.createDataFrame([(k, v, 1) for k, v in enumerate(typed)] + [(None, "Gerdrioth", 1)], "id long, city string, entry int")
@@ -63,5 +80,6 @@ def test_blocks_give_the_rows_of_one_block(spark):
     rows = spark.createDataFrame([(1, "Mappet"), (2, "Mappet"), (3, "Mabbet"), (4, "Mabpet"), (4, "Mabpet"), (5, "Mappet RA"), (6, "sorn town"), (7, "Sorn"), (8, "Sorn"), (9, "xxyyzz"), (9, "xxyyzz")], "id long, city string")
     one = sorted(((r.key, r.value, r.entry, r.distance) for r in map_to_list(rows, ref).collect()), key=str)
     assert len(one) == 11 and {k: e for k, _, e, _ in one}.items() >= {4: 2, 5: 2, 6: 4, 9: None}.items()
+    assert sorted(((r.key, r.value, r.entry, r.distance) for r in map_to_list(rows, ref, block_bytes=1000).collect()), key=str) == one
     for block in (1, 2, 3, 4):
         assert sorted(((r.key, r.value, r.entry, r.distance) for r in map_to_list(rows, ref, block=block).collect()), key=str) == one, block
