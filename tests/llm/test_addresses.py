@@ -77,6 +77,15 @@ def test_long_names_and_long_chains(spark):
         assert roots.pop(far) == far and len(roots) == 4 and set(roots.values()) == {word}, size
 
 
+def test_streets_that_resemble_each_other(spark):
+    rows = [(1, "march", "10001")] * 20 + [(1, "marsh", "10002")] * 30 + [(1, "marh", "10001"), (1, "marxh", "10002"), (1, "marh", "10001"), (1, "mars", None)]
+    rows += [(2, "march", "10001")] * 20 + [(2, "marsh", "10001")] * 30 + [(3, "march", None)] * 20 + [(3, "marsh", "10001")] * 30
+    got = {(r.city, r.name): r.root for r in link_streets(spark.createDataFrame(rows, "city long, name string, zip string")).collect()}
+    # told apart by zipcodes of their own; not where they share one or none is known
+    assert {n: got[1, n] for n in ("march", "marsh", "marh", "marxh", "mars")} == {"march": "march", "marsh": "marsh", "marh": "march", "marxh": "marsh", "mars": "marsh"}
+    assert got[2, "march"] == "marsh" and got[3, "march"] == "marsh"
+
+
 def test_region_of_an_unseen_zipcode(spark):
     rows = [(1, "1 Plenno Square", "Gerdrioth", "10001"), (2, "1 Plenno Square", None, "10077"), (3, "1 Plenno Square", "Harnplon", "10202"), (4, "1 Plenno Square", "Gerdrioth", "10303"), (5, "1 Plenno Square", "Harnplon", "10304"), (6, "1 Plenno Square", "xxx", "10305")]
     _, ref, _ = same(spark)
