@@ -143,7 +143,7 @@ def _with_deletions(rows: DataFrame, column: str, shortest: int) -> DataFrame:
     return short.unionAll(rows.where(long).mapInArrow(run, short.schema))
 
 
-#: A spelling seen so often is a street of its own where it shares no zipcode with the street it resembles.
+#: A spelling seen so often with a zipcode is a street of its own where it shares none with the street it resembles.
 _NAME_LEAST = 3
 
 
@@ -152,10 +152,10 @@ def link_streets(named: DataFrame, shortest: int = 4) -> DataFrame:
     deletion, also without a street type grown onto the end; followed to its end by doubling.
 
     With a column zip, spellings that share a zipcode go before others, and two that were both written ``_NAME_LEAST``
-    times in zipcodes of which they share none are different streets, however alike. Works on distinct names with their
+    times with zipcodes of which they share none are different streets, however alike. Works on distinct names with their
     counts; the join meets one row a city and deletion."""
     zips = named.groupBy("city", "name", F.col("zip") if "zip" in named.columns else F.lit(None).cast("string").alias("zip")).agg(F.count("*").alias("n"))
-    names = cut(zips.groupBy("city", "name").agg(F.sum("n").alias("n"), F.collect_set("zip").alias("zips")))
+    names = cut(zips.groupBy("city", "name").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("zip").isNotNull(), F.col("n")).otherwise(0)).alias("zipped"), F.collect_set("zip").alias("zips")))
     cut_off = F.regexp_replace("name", _ATTACHED, "")
     readings = F.when(F.length(cut_off) >= shortest, F.array_distinct(F.array(F.col("name"), cut_off))).otherwise(F.array("name"))
     # once for the whole city, and once for each zipcode of the name
@@ -164,9 +164,10 @@ def link_streets(named: DataFrame, shortest: int = 4) -> DataFrame:
     asked = places(_with_deletions(names.select("city", "name", "n", "zips", F.explode(readings).alias("r")), "r", shortest))
     met = asked.join(top, ["city", "left", "zip"]).where(F.col("name") != F.col("top.name"))
     met = met.groupBy("city", "name", "n", F.col("top.n").alias("top_n"), F.col("top.name").alias("root")).agg(F.max(F.col("zip") != "").alias("shared"))
-    zipped = names.where(F.size("zips") > 0).select("city", F.col("name").alias("root"), F.lit(True).alias("root_zips"))
-    met = met.join(zipped, ["city", "root"], "left").join(names.where(F.size("zips") > 0).select("city", "name", F.lit(True).alias("own_zips")), ["city", "name"], "left")
-    apart = ~F.col("shared") & (F.least("n", "top_n") >= _NAME_LEAST) & F.coalesce(F.col("root_zips") & F.col("own_zips"), F.lit(False))
+    often = names.where(F.col("zipped") >= _NAME_LEAST)
+    met = met.join(often.select("city", F.col("name").alias("root"), F.lit(True).alias("root_often")), ["city", "root"], "left")
+    met = met.join(often.select("city", "name", F.lit(True).alias("own_often")), ["city", "name"], "left")
+    apart = ~F.col("shared") & F.coalesce(F.col("root_often") & F.col("own_often"), F.lit(False))
     best = met.where(~apart).groupBy("city", "name").agg(F.max(F.struct("shared", F.col("top_n").alias("n"), F.col("root").alias("name"))).alias("t"))
     link = cut(names.select("city", "name").join(best, ["city", "name"], "left").select("city", "name", F.coalesce("t.name", "name").alias("root")))
     while True:
