@@ -10,20 +10,20 @@ def text(columns, **more):
     return json.dumps({"RowSchema": {"columns": columns}} | more)
 
 
-USER = {
-    "id": {"type": "uint32"}, "name": {"type": "strzero"}, "age": {"type": "UINT8", "colstore": True}, "email": {"type": "strzero"}, "city": {"type": "strzero"}, "street": {"type": "strzero"},
-    "geopoint": {"type": "fixed", "length": 16}, "update_time": {"type": "int32"},
+READING = {
+    "station": {"type": "strzero"}, "at": {"type": "int64"}, "quality": {"type": "UINT8", "colstore": True}, "serial": {"type": "uint32"}, "probe": {"type": "fixed", "length": 24},
+    "note": {"type": "strzero"}, "kelvin": {"type": "float64"},
 }
 
 
-def test_user_table():
-    t = load(text(USER, TableIndex=[{"fields": "id", "unique": True}, {"columns": ["city", "street"]}, {"fields": "email", "ordered": False, "enableLinearScan": True}], ColumnGroups={"names": {"fields": ["name"]}}, MaxWritingSegmentSize="3G", EnableSnapshot=True))
-    assert [f.dataType for f in t.struct()][:3] == [T.LongType(), T.StringType(), T.ShortType()] and not any(f.nullable for f in t.struct())
-    assert t.index("city,street").columns == ("city", "street") and t.unique_keys() == [("id",)] and not t.index(2).ordered and t.index("email").linear_scan
-    assert t.group("names").columns == ("name",) and t.group("age").in_place and t.group(REST).columns == ("geopoint", "update_time")
+def test_table_of_readings():
+    t = load(text(READING, TableIndex=[{"columns": ["station", "at"], "unique": True}, {"fields": "serial"}, {"fields": "note", "ordered": False, "enableLinearScan": True}], ColumnGroups={"where": {"fields": ["station"]}}, MaxWritingSegmentSize="3G", EnableSnapshot=True))
+    assert [f.dataType for f in t.struct()][:4] == [T.StringType(), T.LongType(), T.ShortType(), T.LongType()] and not any(f.nullable for f in t.struct())
+    assert t.index("station,at").columns == ("station", "at") and t.unique_keys() == [("station", "at")] and not t.index(2).ordered and t.index("note").linear_scan
+    assert t.group("where").columns == ("station",) and t.group("quality").in_place and t.group(REST).columns == ("probe", "kelvin")
     assert t.sizes == {"MaxWritingSegmentSize": 3 << 30} and t.permanent_ids
-    assert t.project(["email", "id", "email"]) == [3, 0, 3] and t.column("geopoint").width == 16 and t.column(2).name == "age"
-    assert t.struct()["geopoint"].metadata["length"] == 16
+    assert t.project(["serial", "at", "serial"]) == [3, 1, 3] and t.column("probe").width == 24 and t.column(2).name == "quality"
+    assert t.struct()["probe"].metadata["length"] == 24
     for wrong in (lambda: t.column("x"), lambda: t.column(99), lambda: t.index("x"), lambda: t.group("x"), lambda: t.index(9)):
         with pytest.raises(SchemaError):
             wrong()
